@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, omh, packing, pii, quality, rules
+from . import bpe, licenses, lm, omh, packing, pii, quality, rules
 from .common import fold, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -54,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_pii, op4_license_scan, op6_quality_rules, op7_packing, op8_fingerprints, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_pii, op4_license_scan, op6_quality_rules, op7_packing, op8_fingerprints, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
