@@ -40,3 +40,33 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(d, label): the smallest id of the component, for each id that occurs in links (a, b), by alternating stars.
+
+    Each step sends a node's neighbours to its smallest neighbour: to all of them that are larger, then to all that are
+    smaller. It works on sums and joins alone, so a node may have any number of links, and ends when nothing changes.
+    """
+    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        nxt = settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == seen:
+            break
+        seen, edges = now, nxt
+    return nxt.select(F.col("u").alias("d"), F.col("v").alias("label")).union(nxt.select(F.col("v").alias("d"), F.col("v").alias("label")).distinct())

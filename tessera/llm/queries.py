@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm, omh, packing, pii, quality, rules
+from . import bpe, jaccard, licenses, lm, omh, packing, pii, quality, rules
 from .common import fold, table
 
 
@@ -53,12 +53,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_pii, op4_license_scan, op6_quality_rules, op7_packing, op8_fingerprints, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_pii, op4_license_scan, op6_quality_rules, op7_packing, op8_fingerprints, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
