@@ -13,11 +13,13 @@ on lengths, positions and parity bitmaps. No bucket is capped and no pair that c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, settle
@@ -26,7 +28,11 @@ WORDS = 5
 BINS = 18
 FRAGMENTS = 4
 #: 64-bit words of a parity bitmap.
-PARITY = 8
+PARITY = 32
+#: The same folded, for the comparison inside buckets.
+FOLDED = 4
+#: From this size on a bucket is taken for a family of copies, and all its classes are compared with its first.
+FAMILY = 8
 #: Classes whose keys are broadcast to fetch their texts; beyond, a shuffled join does it.
 BROADCAST = 2_000_000
 
@@ -140,6 +146,14 @@ def _may_link(na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
     return (9 * F.abs(na - nb) <= na + nb) & (9 * apart <= na + nb)
 
 
+def _reach(na: Column, nb: Column, ia: Column, ib: Column) -> Column:
+    """Lengths allow a link, and so do the places of the shingle if it is the first in order that both sets hold.
+
+    Two linked sets meet this at their first shared shingle, whose bucket has them both; in other buckets they may fail.
+    """
+    return (9 * F.abs(na - nb) <= na + nb) & (9 * F.least(na - ia, nb - ib) >= 4 * (na + nb))
+
+
 class Join:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.docs, self.id, self.text = docs, id_col, text_col
@@ -151,10 +165,12 @@ class Join:
         discard(every)
 
     def buckets(self) -> DataFrame:
-        """(t, d, n, i, lead): classes by shared prefix shingle, its place in the prefix, and the bucket's first class."""
+        """(t, d, n, i, c, lead, nl, il): classes by shared prefix shingle, its place in the prefix, and the bucket's first class."""
         rows = self.classes.select("d", "n", F.posexplode("prefix").alias("i", "t"))
-        shared = rows.groupBy("t").agg(F.count("*").alias("c"), F.min("d").alias("lead")).where("c > 1")
-        return rows.join(shared, "t").select("t", "d", "n", "i", "c", "lead")
+        shared = rows.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+        # another first class in each bucket of a family, so that its members meet many of each other
+        first = Window.partitionBy("t").orderBy(F.xxhash64("d", "t"), "d")
+        return rows.join(shared, "t").select("t", "d", "n", "i", "c", *(F.first(x).over(first).alias(y) for x, y in (("d", "lead"), ("n", "nl"), ("i", "il"))))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, with their overlap: partial counts by fragment, summed."""
@@ -169,18 +185,23 @@ class Join:
         left = cut.select(F.col("d").alias("a"), "fragment", F.col("part").alias("x"))
         right = cut.select(F.col("d").alias("b"), "fragment", F.col("part").alias("y"))
         partial = kept.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
-        return settle(partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")).where("9 * overlap >= 4 * (na + nb)").select("a", "b", "overlap"))
+        out = settle(partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")).where("9 * overlap >= 4 * (na + nb)").select("a", "b", "overlap"))
+        for df in (cut, wanted, kept):
+            discard(df)
+        return out
 
     def labels(self) -> DataFrame:
         """(d, label) of the classes that have a link."""
         at = settle(self.buckets())
-        stars = settle(at.where("d <> lead").select(F.col("d").alias("a"), F.col("lead").alias("b")).distinct())
+        near = _reach(F.col("n"), F.col("nl"), F.col("i"), F.col("il")) | ((F.col("c") >= FAMILY) & (9 * F.abs(F.col("n") - F.col("nl")) <= F.col("n") + F.col("nl")))
+        stars = settle(at.where(F.col("d") != F.col("lead")).where(near).select(F.col("d").alias("a"), F.col("lead").alias("b")).distinct())
         links = self.verified(stars.groupBy("a").agg(F.min("b").alias("b")))
         label = settle(components(links))
         rest = stars.join(_named(label, "a"), "a", "left").join(_named(label, "b"), "b", "left").where(_label("a") != _label("b")).select("a", "b")
         links = settle(links.select("a", "b").union(self.verified(rest).select("a", "b")))
         label = settle(components(links))
-        links = links.union(self.verified(self.open_pairs(at, label)).select("a", "b"))
+        links = links.union(self.verified(settle(self.open_pairs(at, label))).select("a", "b"))
+        discard(at)
         return settle(components(links))
 
     def open_pairs(self, at: DataFrame, label: DataFrame) -> DataFrame:
@@ -189,12 +210,11 @@ class Join:
         labelled = settle(labelled)
         sizes = labelled.groupBy("t", "l").agg(F.count("*").alias("k"))
         largest = sizes.groupBy("t").agg(F.max(F.struct("k", "l")).alias("top"), F.count("*").alias("many")).where("many > 1").select("t", F.col("top.l").alias("top"))
-        parity = self.classes.select("d", "parity")
+        folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda k: reduce(lambda x, y: x.bitwiseXOR(y), (F.get("parity", k + j) for j in range(0, PARITY, FOLDED))))
+        parity = self.classes.select("d", folded.alias("parity"))
         rows = settle(labelled.join(largest, "t").join(parity, "d"))
         x, y = (rows.select("t", *(F.col(c).alias(f"{c}{s}") for c in ("d", "n", "i", "l", "parity", "top"))) for s, rows in (("x", rows.where("l <> top")), ("y", rows)))
-        # at the first shingle that two linked sets share, this many can follow at most
-        follow = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-        on = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("topy")) | (F.col("dx") < F.col("dy"))) & (9 * follow >= 4 * (F.col("nx") + F.col("ny"))) & _may_link(F.col("nx"), F.col("ny"), F.col("parityx"), F.col("parityy"))
+        on = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("topy")) | (F.col("dx") < F.col("dy"))) & _reach(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy")) & _may_link(F.col("nx"), F.col("ny"), F.col("parityx"), F.col("parityy"))
         return x.join(y.withColumnRenamed("t", "ty"), (F.col("t") == F.col("ty")) & on).select(F.greatest("dx", "dy").alias("a"), F.least("dx", "dy").alias("b")).distinct()
 
     def result(self) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, lm, omh, packing, pii, quality, rules
+from . import bpe, html, jaccard, licenses, lm, omh, packing, pii, quality, rules
 from .common import fold, table
 
 
@@ -31,6 +31,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -61,8 +65,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_pii, op4_license_scan, op6_quality_rules, op7_packing, op8_fingerprints, op9_ngram_jaccard, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_pii, op4_license_scan, op5_main_text, op6_quality_rules, op7_packing, op8_fingerprints, op9_ngram_jaccard, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
