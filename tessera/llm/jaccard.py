@@ -174,19 +174,22 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, with their overlap: partial counts by fragment, summed."""
-        own = self.classes.select("d", "n", "parity")
+        pairs = settle(pairs)
+        ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+        # the classes of the pairs alone travel, not all that there are
+        own = settle(self.classes.select("d", "n", "parity").join(F.broadcast(ids) if pairs.count() <= BROADCAST else ids, "d", "left_semi"))
         a, b = (own.select(F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
         kept = pairs.join(a, "a").join(b, "b").where(_may_link(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
         kept = settle(kept.select("a", "b", "na", "nb"))
         ids = kept.select(F.col("a").alias("d")).union(kept.select("b")).distinct()
-        wanted = settle(self.classes.select("d", "key", "set").join(ids, "d", "left_semi"))
+        wanted = settle(self.classes.select("d", "key", "set").join(F.broadcast(ids) if kept.count() <= BROADCAST else ids, "d", "left_semi"))
         cut = segments(self.docs, self.counts, wanted.select("key"), self.id, self.text).join(wanted.select("set", "d"), "set")
         cut = settle(cut.select("d", "fragment", "part"))
         left = cut.select(F.col("d").alias("a"), "fragment", F.col("part").alias("x"))
         right = cut.select(F.col("d").alias("b"), "fragment", F.col("part").alias("y"))
         partial = kept.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o"))
         out = settle(partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")).where("9 * overlap >= 4 * (na + nb)").select("a", "b", "overlap"))
-        for df in (cut, wanted, kept):
+        for df in (cut, wanted, kept, own, pairs):
             discard(df)
         return out
 
@@ -200,13 +203,21 @@ class Join:
         rest = stars.join(_named(label, "a"), "a", "left").join(_named(label, "b"), "b", "left").where(_label("a") != _label("b")).select("a", "b")
         links = settle(links.select("a", "b").union(self.verified(rest).select("a", "b")))
         label = settle(components(links))
-        links = links.union(self.verified(settle(self.open_pairs(at, label))).select("a", "b"))
+        links = links.union(self.verified(self.open_pairs(at, label)).select("a", "b"))
         discard(at)
         return settle(components(links))
 
     def open_pairs(self, at: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs in a bucket whose components differ, of which one is not in the bucket's largest, and neither is its first class."""
-        labelled = at.where("c > 2 and d <> lead").join(label, "d", "left").select("t", "d", "n", "i", F.coalesce("label", "d").alias("l"))
+        """Pairs of a bucket, without its first class, whose components differ. In a family one of the two is not in the largest component."""
+        few = at.where((F.col("c") > 2) & (F.col("c") < FAMILY) & (F.col("d") != F.col("lead")))
+        x, y = (few.select("t", *(F.col(c).alias(f"{c}{s}") for c in ("d", "n", "i"))) for s in "xy")
+        on = (F.col("dx") < F.col("dy")) & _reach(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"))
+        small = x.join(y.withColumnRenamed("t", "ty"), (F.col("t") == F.col("ty")) & on).select(F.col("dy").alias("a"), F.col("dx").alias("b")).distinct()
+        small = small.join(_named(label, "a"), "a", "left").join(_named(label, "b"), "b", "left").where(_label("a") != _label("b")).select("a", "b")
+        return small.union(self.family_pairs(at, label)).distinct()
+
+    def family_pairs(self, at: DataFrame, label: DataFrame) -> DataFrame:
+        labelled = at.where((F.col("c") >= FAMILY) & (F.col("d") != F.col("lead"))).join(label, "d", "left").select("t", "d", "n", "i", F.coalesce("label", "d").alias("l"))
         labelled = settle(labelled)
         sizes = labelled.groupBy("t", "l").agg(F.count("*").alias("k"))
         largest = sizes.groupBy("t").agg(F.max(F.struct("k", "l")).alias("top"), F.count("*").alias("many")).where("many > 1").select("t", F.col("top.l").alias("top"))
@@ -215,7 +226,7 @@ class Join:
         rows = settle(labelled.join(largest, "t").join(parity, "d"))
         x, y = (rows.select("t", *(F.col(c).alias(f"{c}{s}") for c in ("d", "n", "i", "l", "parity", "top"))) for s, rows in (("x", rows.where("l <> top")), ("y", rows)))
         on = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("topy")) | (F.col("dx") < F.col("dy"))) & _reach(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy")) & _may_link(F.col("nx"), F.col("ny"), F.col("parityx"), F.col("parityy"))
-        return x.join(y.withColumnRenamed("t", "ty"), (F.col("t") == F.col("ty")) & on).select(F.greatest("dx", "dy").alias("a"), F.least("dx", "dy").alias("b")).distinct()
+        return x.join(y.withColumnRenamed("t", "ty"), (F.col("t") == F.col("ty")) & on).select(F.greatest("dx", "dy").alias("a"), F.least("dx", "dy").alias("b"))
 
     def result(self) -> DataFrame:
         """Per row: id, n_shingles, component_id (the smallest id of the component; its own id for an empty set)."""
