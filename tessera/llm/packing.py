@@ -12,6 +12,7 @@ among the pieces of its length; ranks come from counts per task and length, so n
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -21,11 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it starts anew when full.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Words that one tokeniser call gets, joined by blanks.
 JOINED = 2_000
 
 
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def _plain(text: str) -> str:
+    """A-Z in lower case, as the tokeniser does later; not with combining marks, which compose before that."""
+    return text if _MARKS.search(text) else text.encode().lower().decode()
+
+
 class WordIds:
     """Ids of blank-separated chunks as little-endian bytes, remembered between calls.
 
@@ -43,10 +52,15 @@ class WordIds:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(missing), JOINED):
-            self._learn(missing[i : i + JOINED])
+        split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
+        missing = {w for ws in split for w in ws if w not in known}
+        # a comma or full stop after a letter or digit is a token of its own
+        ended = [w for w in missing if w[-1] in ",." and len(w) > 1 and w[-2].isalnum()]
+        new = list((missing.difference(ended) | {w[:-1] for w in ended} | {",", "."}).difference(known))
+        for i in range(0, len(new), JOINED):
+            self._learn(new[i : i + JOINED])
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1]]
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     def _learn(self, words: list[str]) -> None:
