@@ -323,8 +323,12 @@ def parse_json(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import compositions  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import compositions  # noqa: F401
+
     return dict(_SQL)
