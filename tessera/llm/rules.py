@@ -20,21 +20,18 @@ REFERENCES = {
 }
 
 _WS = r"[\x20\x09-\x0D]"
-_CLASSES = ["[^a-z]+", "[^A-Z]+", "[^0-9]+", r"[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", r"[\x00-\x7F]+", r"[^\x20\x09-\x0D]+"]
+_BLANKS = " \t\n\x0b\x0c\r"
+#: The classes in the order in which they are taken out of a text, most frequent first, and their places in REFERENCES.
+_CLASSES = [(0, "[a-z]+"), (5, f"{_WS}+"), (1, "[A-Z]+"), (2, "[0-9]+"), (3, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), (4, r"[^\x00-\x7F]+")]
 
 
-def _js(counts: Column, shares: list[float]) -> Column:
-    """Jensen-Shannon distance (root of the divergence, base 2) of an array of counts to reference shares."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+def _js(counts: Column, total: Column, shares: list[float]) -> Column:
+    """Jensen-Shannon distance (root of the divergence, base 2) of an array of counts, with their sum, to reference shares."""
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    parts = F.zip_with(F.transform(counts, lambda c: c / total), F.array(*map(F.lit, shares)), lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
+    parts = F.zip_with(F.transform(counts, lambda c: c / F.greatest(total, F.lit(1))), F.array(*map(F.lit, shares)), lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _char_js and _word_js.
 
@@ -42,40 +39,48 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     common = sorted({w for _, ws in REFERENCES.values() for w in ws})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", f"{_WS}+"), lambda w: w != ""))
+    # each class is taken out of what the ones before it left, so that the later ones read little
+    base = docs.withColumn("_r0", text)
+    for k, (_, chars) in enumerate(_CLASSES):
+        base = base.withColumn(f"_r{k + 1}", F.regexp_replace(f"_r{k}", chars, ""))
+        if k == 1:
+            base = base.withColumn("_n_symbols", F.length(F.regexp_replace("_r2", r"[^#*$%&|<>]+", "")).cast("long"))
+    left = [F.length(f"_r{k}") for k in range(len(_CLASSES) + 1)]
+    base = base.select(*docs.columns, F.col("_r0").alias("_text"), "_n_symbols", *((left[k] - left[k + 1]).alias(f"_c{at}") for k, (at, _) in enumerate(_CLASSES)))
+    inner = F.btrim("_text", F.lit(_BLANKS))
+    base = base.withColumn("_words", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"{_WS}+")))
     n = F.size("_words")
     # a window is known by the hash of its three words
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = base.select(
         *docs.columns,
-        "_text",
         n.cast("long").alias("_n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
+        (F.length("_text") - F.col("_c5")).cast("long").alias("_word_chars"),
+        "_n_symbols",
         grams.alias("_grams"),
         lines.alias("_lines"),
-        F.filter("_words", lambda w: F.length(w) <= max(map(len, common))).alias("_short"),
-        *(F.length(F.regexp_replace("_text", c, "")).alias(f"_c{i}") for i, c in enumerate(_CLASSES)),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"),
+        F.filter("_words", lambda w: (F.octet_length(w) <= max(map(len, common))) & F.lower(w).isin(common)).alias("_common"),
+        *(f"_c{i}" for i in range(6)),
     )
-    counted = counted.select("*", F.filter(F.transform("_short", F.lower), lambda w: w.isin(common)).alias("_common")).drop("_text", "_short")
+    counted = counted.withColumn("_common", F.transform("_common", F.lower))
     # windows found again: sorted by hash and place, a window's equals are its neighbours
-    placed = F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    counted = counted.withColumn("_placed", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), placed).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
+    repeats = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.col("_grams")).otherwise(F.slice("_grams", 1, 0))
+    counted = counted.withColumn("_placed", F.sort_array(F.transform(repeats, lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
     same = lambda x, k: F.coalesce(F.get("_placed", k)["g"] == x["g"], F.lit(False))
     again = F.filter("_placed", lambda x, k: same(x, k - 1) | same(x, k + 1))
     counted = counted.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["i"])))
     # words covered: each window adds what the one before it leaves uncovered
     covered = F.aggregate(F.transform("_again", lambda p, k: F.least(F.lit(3), F.coalesce(p - F.get("_again", k - 1), F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    hits = {w: F.size(F.filter("_common", _equals(w))) for w in common}
-    counted = counted.select(*docs.columns, "_n_words", "_word_chars", "_n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"), covered.alias("_n_repeat_words"), *(F.col(f"_c{i}") for i in range(6)), *(c.alias(f"_w_{w}") for w, c in hits.items()))
+    # one array of counts, not an expression for each word: generated code beyond 8,000 bytes is never compiled by the JVM
+    hits = F.transform(F.array(*map(F.lit, common)), lambda w: F.size("_common") - F.size(F.array_remove("_common", w)))
+    counted = counted.select(*docs.columns, "_n_words", "_word_chars", "_n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"), covered.alias("_n_repeat_words"), *(F.col(f"_c{i}") for i in range(6)), hits.alias("_hits"))
     n_words = F.col("_n_words")
-    own = {k: [F.col(f"_w_{w}") for w in ws] for k, (_, ws) in REFERENCES.items()}
-    counted = counted.select("*", F.array(*(F.col(f"_c{i}") for i in range(6))).alias("_chars"), *(F.array(*c, (n_words - sum(c[1:], c[0])).cast("int")).alias(f"_ws_{k}") for k, c in own.items()))
-    char_js = [_js(F.col("_chars"), [c / sum(chars) for c in chars]) for chars, _ in REFERENCES.values()]
-    word_js = [_js(F.col(f"_ws_{k}"), [*(x / 1000 for x in ws.values()), 1 - sum(ws.values()) / 1000]) for k, (_, ws) in REFERENCES.items()]
-    some = F.exists("_chars", lambda c: c > 0)
-    return counted.select(*docs.columns, "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", F.when(some, F.least(*char_js)).otherwise(0.0).alias("_char_js"), F.when(n_words > 0, F.least(*word_js)).otherwise(0.0).alias("_word_js"))
+    own = {k: [F.get("_hits", F.lit(common.index(w))) for w in ws] for k, (_, ws) in REFERENCES.items()}
+    counted = counted.select("*", F.array(*(F.col(f"_c{i}") for i in range(6))).alias("_chars"), sum((F.col(f"_c{i}") for i in range(1, 6)), F.col("_c0")).alias("_total"), *(F.array(*c, (n_words - sum(c[1:], c[0])).cast("int")).alias(f"_ws_{k}") for k, c in own.items()))
+    char_js = [_js(F.col("_chars"), F.col("_total"), [c / sum(chars) for c in chars]) for chars, _ in REFERENCES.values()]
+    word_js = [_js(F.col(f"_ws_{k}"), n_words, [*(x / 1000 for x in ws.values()), 1 - sum(ws.values()) / 1000]) for k, (_, ws) in REFERENCES.items()]
+    return counted.select(*docs.columns, "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", F.when(F.col("_total") > 0, F.least(*char_js)).otherwise(0.0).alias("_char_js"), F.when(n_words > 0, F.least(*word_js)).otherwise(0.0).alias("_word_js"))
 
 
 def rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat: float = 50, min_chars: int = 200, min_histogram: int = 100, max_char_js: float = 0.30, max_word_js: float = 0.55) -> DataFrame:
