@@ -94,3 +94,44 @@ def rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat * F.col("_n_words"))
     far = ((F.col("_word_chars") >= min_chars) & (F.col("_char_js") > max_char_js)) | ((F.col("_n_words") >= min_histogram) & (F.col("_word_js") > max_word_js))
     return m.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~far)
+
+
+def _sql_js(counts: list[str], total: str, shares: list[float]) -> str:
+    half = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END"
+    parts = []
+    for c, q in zip(counts, shares, strict=True):
+        p, q = f"({c}::DOUBLE / greatest({total}, 1))", f"{q!r}::DOUBLE"
+        mid = f"(({p} + {q}) / 2)"
+        parts += [half(p, mid), half(q, mid)]
+    return f"sqrt(greatest(({' + '.join(parts)}) / 2, 0))"
+
+
+def sql(table: str = "documents", min_words: int = 50, max_repeat: float = 50, min_chars: int = 200, min_histogram: int = 100, max_char_js: float = 0.30, max_word_js: float = 0.55) -> str:
+    """The same verdicts in DuckDB SQL: windows are unnested and counted, and all else is said by lists and patterns."""
+    chars = {at: p for at, p in _CLASSES}
+    common = sorted({w for _, ws in REFERENCES.values() for w in ws})
+    char_js = [_sql_js([f"c{i}" for i in range(6)], "(c0 + c1 + c2 + c3 + c4 + c5)", [c / sum(cs) for c in cs]) for cs, _ in REFERENCES.values()]
+    word_js = []
+    for _, ws in REFERENCES.values():
+        own = [f"hits[{common.index(w) + 1}]" for w in ws]
+        word_js.append(_sql_js([*own, f"(n_words - {' - '.join(own)})"], "n_words", [*(x / 1000 for x in ws.values()), 1 - sum(ws.values()) / 1000]))
+    names = ", ".join(f"'{w}'" for w in common)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {table}),
+listed AS (SELECT *, list_filter(string_split_regex(t, '{_WS}+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM listed))),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE k > 1) GROUP BY r),
+counted AS (
+  SELECT r, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    {", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) AS c{at}" for at, p in sorted(chars.items()))},
+    list_transform([{names}], lambda w: len(list_filter(words, lambda x: lower(x) = w))) AS hits
+  FROM listed),
+judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+    n_words < {min_words} OR 100 * coalesce(repeated.n, 0) > {max_repeat} * n_words AS base_failed,
+    least({", ".join(char_js)}) AS char_js, least({", ".join(word_js)}) AS word_js
+  FROM counted LEFT JOIN repeated USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ((word_chars >= {min_chars} AND char_js > {max_char_js}) OR (n_words >= {min_histogram} AND word_js > {max_word_js})) AS kept
+FROM judged"""

@@ -121,6 +121,21 @@ def test_rules_against_brute_force(docs, empty):
     assert rules.rules(empty).count() == 0
 
 
+def test_rules_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    texts = [t for _, t, _ in LINES] + ["The cat IS on the mat 12 #$ é\n" * 40, "zq " * 300, " of the\x0band to\r\n" * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(queries.oracle_sql()["op6_quality_rules"])
+    names = [c[0] for c in want.description]
+    got = queries.op6_quality_rules(spark, str(tmp_path))
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_fingerprints(docs, empty):
     rows = omh.edited(docs).collect()
     assert len(rows) == len(LINES)
