@@ -193,6 +193,14 @@ class Join:
             discard(df)
         return out
 
+    def pairs(self) -> DataFrame:
+        """(a, b, overlap) of every pair of classes that link, whatever their components: as many rows as there are links."""
+        rows = self.classes.select("d", "n", F.posexplode("prefix").alias("i", "t"))
+        x, y = (rows.select("t", *(F.col(c).alias(f"{c}{s}") for c in ("d", "n", "i"))) for s in "xy")
+        on = (F.col("dx") > F.col("dy")) & _reach(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"))
+        met = x.join(y.withColumnRenamed("t", "ty"), (F.col("t") == F.col("ty")) & on)
+        return self.verified(met.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct())
+
     def labels(self) -> DataFrame:
         """(d, label) of the classes that have a link."""
         at = settle(self.buckets())
@@ -239,6 +247,17 @@ class Join:
         return full.union(empty)
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link between different shingle sets: a, b (the smallest id of each set) and overlap.
+
+    Rows with equal sets are one class and give one end of a link. `near_duplicates` gives the components of these
+    links without looking at all of them; here a family of k near copies gives all of its pairs.
+    """
+    join = Join(docs, id_col, text_col)
+    a, b = (join.classes.select(F.col("d").alias(x), F.col("first").alias(f"_{x}")) for x in "ab")
+    return join.pairs().join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "overlap")
+
+
 def _named(label: DataFrame, side: str) -> DataFrame:
     return label.select(F.col("d").alias(side), F.col("label").alias(f"l{side}"))
 

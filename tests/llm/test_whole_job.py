@@ -8,6 +8,34 @@ import corpus_pipeline
 from tessera.llm import bpe, jaccard, licenses
 
 
+def _sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def _linked(a, b):
+    return bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def _copies(stem, n):
+    """n near copies of one text, each with another word changed at its end."""
+    base = [f"{stem}{i}" for i in range(80)]
+    return [" ".join([*base, f"{stem}x{k}"]) for k in range(n)]
+
+
+def test_jaccard_gives_every_link(spark):
+    texts = [*_copies("p", 12), *_copies("q", 3), _copies("p", 1)[0].upper(), "alone", "", None]
+    sets = _sets(texts)
+    want = {(j, i, len(sets[i] & sets[j])) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] != sets[j] and _linked(sets[i], sets[j])}
+    want = {w for w in want if 15 not in w[:2]}  # the copy in capitals is of the class of the first text
+    got = jaccard.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(want) == 12 * 11 // 2 + 3
+    assert {(max(r.a, r.b), min(r.a, r.b), r.overlap) for r in got} == want
+
+
 def test_pipeline_rules_reject_text_without_common_words(spark):
     name = lambda i: chr(97 + i % 26) * 2 + chr(97 + i // 26) * 3
     junk = " | ".join(name(i) + name(i + 1) for i in range(120))
