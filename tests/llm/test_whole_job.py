@@ -36,6 +36,24 @@ def test_jaccard_gives_every_link(spark):
     assert {(max(r.a, r.b), min(r.a, r.b), r.overlap) for r in got} == want
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    p, q, r, s = (_copies(x, 4) for x in "pqrs")
+    rows = [(None, p[0]), (None, q[0]), (None, q[1]), (None, "alone"), (7, r[1]), (7, r[0]), (7, s[0]), (3, s[1]), (1, "other"), (1, "other"), (2, ""), (2, None), (None, None), (5, p[1])]
+    sets = _sets([t for _, t in rows])
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if _linked(sets[i], sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    key = lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or "")
+    want = [rows[min((k for k in range(len(rows)) if group[k] == g), key=key)] for g in set(group)]
+    text = lambda x: (str(x[0]), str(x[1]))
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "a") for i, t in some], "doc_id long, text string, source string")
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(map(text, got.select("doc_id", "text").collect())) == sorted(map(text, want))
+
+
 def test_pipeline_rules_reject_text_without_common_words(spark):
     name = lambda i: chr(97 + i % 26) * 2 + chr(97 + i // 26) * 3
     junk = " | ".join(name(i) + name(i + 1) for i in range(120))
