@@ -47,14 +47,28 @@ class ByteBpe:
             return self.encoding.encode_ordinary(text)
         ids: list[int] = []
         start = done = 0
+        # white-space matches right before the present one; how the pattern splits them depends on what follows
+        blanks: list[str] = []
         for m in self.pattern.finditer(text):
-            if m.end() - m.start() > LONG_MATCH // 4 and len(word := m.group().encode()) > LONG_MATCH:
-                ids += self.encoding.encode_ordinary(text[start : m.start()]) if start < m.start() else []
+            own = m.group()
+            if len(own) > LONG_MATCH // 4 and len(word := own.encode()) > LONG_MATCH:
+                stop = m.start() - sum(map(len, blanks))
+                ids += self.encoding.encode_ordinary(text[start:stop]) if start < stop else []
+                for x in blanks:
+                    ids += self.match(x.encode())
                 ids += self.merge(word)
-                start = m.end()
+                start, blanks = m.end(), []
+            elif own.isspace():
+                blanks.append(own)
+            elif blanks:
+                blanks = []
             done = m.end()
         return ids + (self.encoding.encode_ordinary(text[start:done]) if start < done else [])
 
+    def match(self, word: bytes) -> list[int]:
+        """Ids of one match, which may be a token as a whole."""
+        return [self.ranks[word]] if word in self.ranks else self.merge(word)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one match: always the lowest-ranked adjacent pair first, the leftmost among equals."""
         n, ranks = len(word), self.ranks

@@ -26,6 +26,13 @@ def _copies(stem, n):
     return [" ".join([*base, f"{stem}x{k}"]) for k in range(n)]
 
 
+def test_bpe_white_space_before_a_long_match():
+    own = bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    for gap in ("\n\n", "\n", "  ", " \n \n\n", "\t\t ", "  "):
+        for text in ("end" + gap + "a" * 17000, gap + "a" * 17000 + gap + "9" * 17000 + gap, "end" + gap + "b" + gap + "!" * 17000 + "c"):
+            assert own.encode(text) == own.encoding.encode_ordinary(text)
+
+
 def test_jaccard_gives_every_link(spark):
     texts = [*_copies("p", 12), *_copies("q", 3), _copies("p", 1)[0].upper(), "alone", "", None]
     sets = _sets(texts)
