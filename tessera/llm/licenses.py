@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
 Words are the runs of letters and digits (every non-ASCII character counts as one) after lower-casing A-Z. The
-template texts are indexed by (word -> template, position). A file's licence words are ranked by inverse document
-frequency over the whole corpus; the highest-ranked ones look up the postings, and postings that agree on the
-relative position vote for a template at that place. A template counts when its mandatory phrases stand where the
-votes put them. Base phrases are found everywhere, whatever the votes say.
+template texts are indexed by (word -> template, position). Only templates whose mandatory phrases have all of their
+words in the file can match; every word of those looks up the postings, and postings that agree on the relative
+position vote for a template at that place. A template counts when its mandatory phrases stand where the votes put
+them and the words in place hold enough of its inverse document frequency, taken over the whole corpus. Base phrases
+are found everywhere, whatever the votes say.
 """
 
 from __future__ import annotations
@@ -61,7 +62,6 @@ class Index:
     templates: dict[str, tuple[str, list[str]]] = field(default_factory=lambda: TEMPLATES)
     base: dict[str, str] = field(default_factory=lambda: BASE_PHRASES)
     idf: dict[bytes, float] = field(default_factory=dict)
-    top: int = 8
     quorum: float = 0.5
 
     def __post_init__(self):
@@ -72,6 +72,7 @@ class Index:
             for i, w in enumerate(ws):
                 self.postings[w].append((k, i))
         self.vocabulary = frozenset(self.postings)
+        self.needed = {k: frozenset(w for _, q in ps for w in q) for k, ps in self.phrases.items()}
         self.base_words = [(p.encode().split(), label) for p, label in self.base.items()]
         # a cheap test that the text holds a phrase's words one after another, whatever stands between
         self.maybe = re.compile(b"|".join(rb"\s+".join(map(re.escape, p)) for p, _ in self.base_words))
@@ -97,13 +98,17 @@ class Index:
     def matches(self, ws: list[bytes]) -> dict[str, float]:
         """Label -> share of the template's idf that stands in place, for templates whose phrases are verified."""
         idf = self.idf
-        rare = sorted((w for w in self.vocabulary.intersection(ws) if idf.get(w, 0.0) > 0), key=lambda w: (-idf[w], w))[: self.top]
-        if not rare:
+        present = self.vocabulary.intersection(ws)
+        possible = [k for k, need in self.needed.items() if need <= present]
+        if not possible:
             return {}
-        chosen, votes = frozenset(rare), Counter()
+        postings, votes = defaultdict(list), Counter()
+        for k in possible:
+            for p, w in enumerate(self.text[k]):
+                postings[w].append((k, p))
         for i, w in enumerate(ws):
-            if w in chosen:
-                for k, p in self.postings[w]:
+            if w in postings:
+                for k, p in postings[w]:
                     votes[k, i - p] += 1
         found: dict[str, float] = {}
         for (k, at), n in votes.items():

@@ -33,6 +33,16 @@ def test_bpe_white_space_before_a_long_match():
             assert own.encode(text) == own.encoding.encode_ordinary(text)
 
 
+def test_licenses_with_two_notices(spark):
+    firsts, seconds = ("isc", "bsd", "mit-text"), ("apache-2.0", "gpl-licensed", "mit-notice", "cc-by-nc")
+    both = list(itertools.product(firsts, seconds))
+    rows = [(i, f"{licenses.TEMPLATES[a][0]} and then {licenses.TEMPLATES[b][0]}") for i, (a, b) in enumerate(both)]
+    rows += [(100 + i, "nothing of the kind is said in this text") for i in range(100)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({a, b} <= set(got[i]) for i, (a, b) in enumerate(both))
+    assert got[100] == [""]
+
+
 def test_jaccard_gives_every_link(spark):
     texts = [*_copies("p", 12), *_copies("q", 3), _copies("p", 1)[0].upper(), "alone", "", None]
     sets = _sets(texts)
