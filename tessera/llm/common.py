@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,53 +18,76 @@ def fold(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+#: Rows of a table that is broadcast, at most; larger ones are joined by a shuffle.
+BROADCAST = 1_000_000
+#: Deletes a query's shuffle files when it has ended, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, which the whole cluster sees; local runs get one below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
+    """A fresh path below spark.checkpoint.dir, which the whole cluster sees; local sessions without it get one below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs one task."""
+def settle(df: DataFrame, **metrics: Column) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs one task.
+
+    What the write has seen on its way (the number of rows, and the given aggregates) is kept with the table: see `seen`.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before, kept = shared_folder(spark), spark.conf.get(_CLEAN, "false"), Observation()
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.observe(kept, F.count(F.lit(1)).alias("rows"), *(m.alias(k) for k, m in metrics.items())).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled = kept.get
+    return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def rows(df: DataFrame) -> int:
+    """The number of rows of a settled table."""
+    return df.settled["rows"]
 
 
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def small(df: DataFrame, of: DataFrame | None = None, most: int = BROADCAST) -> DataFrame:
+    """df marked for broadcast if the settled table `of` that it comes from, or df itself, has at most `most` rows."""
+    return F.broadcast(df) if rows(df if of is None else of) <= most else df
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(d, label): the smallest id of the component, for each id that occurs in links (a, b), by alternating stars.
+    """(d, label), settled: the smallest id of the component, for each id that occurs in links (a, b), by alternating stars.
 
     Each step sends a node's neighbours to its smallest neighbour: to all of them that are larger, then to all that are
     smaller. It works on sums and joins alone, so a node may have any number of links, and ends when nothing changes.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    mark, seen = F.bit_xor(F.xxhash64("u", "v")), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        nxt = settle(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
+        less = large.join(low, "u")
+        nxt = settle(less.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), mark=mark)
+        discard(edges)
+        if nxt.settled == seen:
             break
-        seen, edges = now, nxt
-    return nxt.select(F.col("u").alias("d"), F.col("v").alias("label")).union(nxt.select(F.col("v").alias("d"), F.col("v").alias("label")).distinct())
+        seen, edges = nxt.settled, nxt
+    out = settle(nxt.select(F.col("u").alias("d"), F.col("v").alias("label")).union(nxt.select(F.col("v").alias("d"), F.col("v").alias("label")).distinct()))
+    discard(nxt)
+    return out
