@@ -27,25 +27,28 @@ CACHE = 1_000_000
 JOINED = 2_000
 
 
-_MARKS = re.compile("[\u0300-\u036f]")
+#: Combining marks compose before the tokeniser lowers letters, and "<|" may begin a special token, whose case counts.
+_MARKS = re.compile("[\u0300-\u036f]|<\\|")
+#: Letters and digits after which a comma or full stop is a token of its own, whatever the tokeniser does to them before.
+_ENDS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 def _plain(text: str) -> str:
-    """A-Z in lower case, as the tokeniser does later; not with combining marks, which compose before that."""
-    return text if _MARKS.search(text) else text.encode().lower().decode()
+    """A-Z in lower case, as the tokeniser does later, in texts where that changes nothing."""
+    return text if _MARKS.search(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class WordIds:
     """Ids of blank-separated chunks as little-endian bytes, remembered between calls.
 
-    The tokeniser drops white space and never merges across it, so a text's ids are its chunks' ids in a row.
+    The tokeniser drops white space and never merges across it, so a text's ids are its chunks' ids in a row. Special
+    tokens (no one has white space) are found in texts as the tokeniser itself does.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -54,8 +57,7 @@ class WordIds:
         known = self.known
         split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         missing = {w for ws in split for w in ws if w not in known}
-        # a comma or full stop after a letter or digit is a token of its own
-        ended = [w for w in missing if w[-1] in ",." and len(w) > 1 and w[-2].isalnum()]
+        ended = [w for w in missing if w[-1] in ",." and len(w) > 1 and w[-2] in _ENDS]
         new = list((missing.difference(ended) | {w[:-1] for w in ended} | {",", "."}).difference(known))
         for i in range(0, len(new), JOINED):
             self._learn(new[i : i + JOINED])
