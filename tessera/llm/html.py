@@ -1,9 +1,10 @@
 """Main-text extraction with wrappers inferred per host as union-free regular expressions.
 
-A page becomes a stream of block tags and texts, balanced into groups. The pages of a host are aligned one after
-another: equal neighbours fold into a repeated group, a group that one side lacks becomes optional, texts that differ
-become a slot. The resulting expression has no alternatives. Where its slots hold the article is the host's region;
-each page is read there, without the groups that are menus, notices and the like by their tag or name.
+A page becomes a stream of block tags and texts, balanced into groups. All pages of a host are aligned one after
+another, first in the tasks that read them and then across tasks: equal neighbours fold into a repeated group, a group
+that one side lacks becomes optional, texts that differ become a slot, texts that every page has at a place stay
+constant. The resulting expression has no alternatives. Where its slots hold the article is the host's region; each
+page is read there, without the constants of the host and without the groups that are menus, notices and the like.
 """
 
 from __future__ import annotations
@@ -11,16 +12,28 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small
 
-#: Pages of a host that its wrapper is inferred from; hosts whose wrappers are broadcast, at most.
-SAMPLE, BROADCAST = 8, 100_000
+#: Levels of groups; what lies deeper is read as groups of the last level.
+DEPTH = 120
+#: Cells of the table for a longest common sequence; longer lists of parts are aligned from left to right.
+CELLS = 40_000
+#: A text is a constant of the host if every page that has its group has it, and so many pages do.
+SUPPORT = 3
+#: Pages whose constants are a larger share of the region's text are taken for copies of each other, and keep them.
+SHARE = 0.3
+#: Wrappers a task holds before it hands them on; parts of one host's wrapper that one task aligns.
+HELD, PARTS = 5_000, 64
 
 #: HTML elements by their role (fixed values).
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul head".split())
@@ -42,11 +55,17 @@ _RAW_END = {t: re.compile(rf"(?i)</{t}\b[^>]*>?") for t in RAW}
 
 @dataclass
 class Node:
+    """A group of a page, or of a wrapper: there `fixed` has the texts that all pages have (hash: length), and `slot` says whether others occur."""
+
     tag: str
     names: tuple[str, ...] = ()
-    children: list = field(default_factory=list)  # Nodes and texts
+    children: list = field(default_factory=list)  # Nodes and, in a page, texts
     optional: bool = False
     repeated: bool = False
+    fixed: dict[int, int] = field(default_factory=dict)
+    slot: bool = False
+    pages: int = 1
+    chars: int = 0
 
     @property
     def label(self) -> str:
@@ -114,81 +133,131 @@ def tree(page: str) -> Node:
                 if stack[i].tag in SCOPES:
                     break
             node = Node(value, names)
-            stack[-1].children.append(node)
+            if len(stack) > DEPTH:
+                # its texts go to the group of the last level, between borders, unless it is beside the article
+                if not node.beside(True):
+                    stack[-1].children.append(Node("hr"))
+                    node.children = stack[-1].children
+            else:
+                stack[-1].children.append(node)
             if value != "hr":
                 stack.append(node)
         else:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == value:
+                    if i > DEPTH and stack[i].children is stack[i - 1].children:
+                        stack[i].children.append(Node("hr"))
                     del stack[i:]
                     break
     return root
 
 
+def _block(run: list[str]) -> str:
+    """The text of a block: character references decoded, white space as one blank."""
+    return " ".join(entities.unescape("".join(run)).split())
+
+
+def _name(text: str) -> int:
+    raw = text.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 32 | zlib.adler32(raw)
+
+
 def folded(node: Node) -> Node:
-    """The group's expression: neighbours of one label become one repeated group, texts become slots or constants."""
-    out: list = []
+    """The group's expression: its texts, and its groups with neighbours of one label as one repeated group."""
+    out, run = Node(node.tag, node.names), []
+
+    def close():
+        if text := _block(run):
+            out.fixed[_name(text)] = len(text)
+            out.chars += len(text)
+        run.clear()
+
     for c in node.children:
         if isinstance(c, str):
-            if c.strip() and not (out and isinstance(out[-1], str)):
-                out.append(c.strip())
-            elif c.strip() and out[-1] != c.strip():
-                out[-1] = ""
-        else:
-            c = folded(c)
-            if out and isinstance(out[-1], Node) and out[-1].label == c.label:
-                out[-1] = aligned(out[-1], c)
-                out[-1].repeated = True
-            else:
-                out.append(c)
-    return Node(node.tag, node.names, out)
+            run.append(c)
+            continue
+        close()
+        _put(out.children, folded(c))
+    close()
+    return out
 
 
-def aligned(a: Node, b: Node) -> Node:
-    """One expression for two groups of the same label; the longest common sequence of parts is kept, the rest is optional."""
-    x, y = a.children, b.children
-    key = lambda c: "#" if isinstance(c, str) else c.label
-    if [key(c) for c in x] == [key(c) for c in y]:
-        pairs = list(zip(x, y, strict=True))
+def _put(parts: list[Node], new: Node) -> None:
+    """Append a group; beside one of its label it becomes part of a repeated group."""
+    if parts and parts[-1].label == new.label:
+        parts[-1] = _merged(parts[-1], new, False)
+        parts[-1].repeated = True
     else:
-        n, m = len(x), len(y)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if key(x[i]) == key(y[j]) else max(best[i + 1][j], best[i][j + 1])
-        pairs, i, j = [], 0, 0
-        while i < n or j < m:
-            if i < n and j < m and key(x[i]) == key(y[j]):
-                pairs.append((x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-                pairs.append((x[i], None))
-                i += 1
+        parts.append(new)
+
+
+def _pairs(x: list[Node], y: list[Node]) -> list[tuple[Node | None, Node | None]]:
+    """Parts of two groups side by side, equal labels together, in the order of both."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head].label == y[head].label:
+        head += 1
+    out: list = list(zip(x[:head], y[:head], strict=True))
+    x, y = x[head:], y[head:]
+    n, m = len(x), len(y)
+    if n * m > CELLS:
+        at, j = defaultdict(list), 0
+        for k, c in enumerate(y):
+            at[c.label].append(k)
+        for c in x:
+            places = at.get(c.label, ())
+            k = bisect_left(places, j)
+            if k < len(places):
+                out += [(None, q) for q in y[j : places[k]]]
+                out.append((c, y[places[k]]))
+                j = places[k] + 1
             else:
-                pairs.append((None, y[j]))
-                j += 1
-    out: list = []
-    for p, q in pairs:
-        if isinstance(p, str) or isinstance(q, str):
-            out.append(p if p == q else "")
-        elif p is None or q is None:
+                out.append((c, None))
+        return out + [(None, q) for q in y[j:]]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and x[i].label == y[j].label:
+            out.append((x[i], y[j]))
+            i, j = i + 1, j + 1
+        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            out.append((x[i], None))
+            i += 1
+        else:
+            out.append((None, y[j]))
+            j += 1
+    return out
+
+
+def _merged(a: Node, b: Node, across: bool) -> Node:
+    """One expression for two groups of a label: across pages texts that differ become a slot, within a page texts add up."""
+    out = Node(a.tag, a.names, [], a.optional or b.optional, a.repeated or b.repeated, chars=a.chars + b.chars)
+    if across:
+        out.fixed = {k: v for k, v in a.fixed.items() if k in b.fixed}
+        out.slot = a.slot or b.slot or a.fixed.keys() != b.fixed.keys()
+        out.pages = a.pages + b.pages
+    else:
+        out.fixed, out.slot, out.pages = a.fixed | b.fixed, a.slot or b.slot, min(a.pages, b.pages)
+    for p, q in _pairs(a.children, b.children):
+        if p is None or q is None:
             one = p or q
-            out.append(Node(one.tag, one.names, one.children, True, one.repeated))
+            one.optional = True
+            _put(out.children, one)
         else:
-            both = aligned(p, q)
-            both.optional, both.repeated = p.optional or q.optional, p.repeated or q.repeated
-            out.append(both)
-        # a part that now stands beside one of its label repeats
-        if len(out) > 1 and isinstance(out[-1], Node) and isinstance(out[-2], Node) and out[-1].label == out[-2].label:
-            last = out.pop()
-            out[-1] = aligned(out[-1], last)
-            out[-1].repeated = True
-    return Node(a.tag, a.names, out, a.optional or b.optional, a.repeated or b.repeated)
+            _put(out.children, _merged(p, q, across))
+    return out
+
+
+def aligned(a: Node, b: Node) -> Node:
+    """One expression for the wrappers of two sets of pages; the longest common sequence of parts is kept, the rest is optional."""
+    return _merged(a, b, True)
 
 
 def expression(node: Node) -> str:
-    """The wrapper in words: <label>parts</label> with + for repeated and ? for optional groups, # for a slot."""
-    inner = "".join(("#" if c == "" else json.dumps(c, ensure_ascii=False)) if isinstance(c, str) else expression(c) for c in node.children)
+    """The wrapper in words: <label>parts</label> with + for repeated and ? for optional groups, = for constants, # for a slot."""
+    inner = "=" * bool(node.fixed) + "#" * node.slot + "".join(map(expression, node.children))
     return f"(<{node.label}>{inner}</{node.tag}>)" + "+" * node.repeated + "?" * node.optional
 
 
@@ -200,22 +269,38 @@ def infer(pages: list[str]) -> Node:
     return wrapper or Node("page")
 
 
+def _packed(node: Node) -> list:
+    return [node.tag, node.names, [_packed(c) for c in node.children], node.optional, node.repeated, list(node.fixed.items()), node.slot, node.pages, node.chars]
+
+
+def _unpacked(x: list) -> Node:
+    tag, names, children, optional, repeated, fixed, slot, pages, chars = x
+    return Node(tag, tuple(names), [_unpacked(c) for c in children], optional, repeated, dict(map(tuple, fixed)), slot, pages, chars)
+
+
+def _holds_article(label: str) -> bool:
+    tag, *names = label.split(".")
+    return tag in ("article", "main") or any(w in INSIDE for n in names for w in re.split(r"[-_]+", n.lower()))
+
+
 def region(wrapper: Node) -> list[str]:
     """Labels from the top to the group that holds the article: an article or main element, or one named so, or the
-    deepest group that most of the slots beside no menu or notice are in."""
+    deepest group that most of the slots beside no menu or notice are in. Without any slot all texts count."""
     found: list[tuple[int, int, list[str]]] = []
 
+    def varies(node: Node, inside: bool) -> bool:
+        return node.slot or any(varies(c, inside or c.tag in ("article", "main")) for c in node.children if not c.beside(inside))
+
+    every = not varies(wrapper, False)
+
     def walk(node: Node, path: list[str], inside: bool) -> int:
-        slots = 0
+        slots = int(node.slot or (every and bool(node.fixed)))
         for c in node.children:
-            if isinstance(c, str):
-                slots += 1
-            elif not c.beside(inside):
+            if not c.beside(inside):
                 own = [*path, c.label]
-                within = inside or c.tag in ("article", "main")
-                k = walk(c, own, within) * (3 if c.repeated else 1)
+                k = walk(c, own, inside or c.tag in ("article", "main")) * (3 if c.repeated else 1)
                 slots += k
-                rank = 0 if c.tag == "article" else 1 if c.tag == "main" else 2 if any(w in INSIDE for n in c.names for w in re.split(r"[-_]+", n.lower())) else 3
+                rank = 0 if c.tag == "article" else 1 if c.tag == "main" else 2 if _holds_article(c.label) else 3
                 if rank < 3 and k:
                     found.append((rank, len(own), own))
         return slots
@@ -225,7 +310,7 @@ def region(wrapper: Node) -> list[str]:
         return min(found, key=lambda f: f[:2])[2]
     node, path = wrapper, []
     while True:
-        groups = [(walk(c, [], True), c) for c in node.children if isinstance(c, Node) and not c.beside(False)]
+        groups = [(walk(c, [], True), c) for c in node.children if not c.beside(False)]
         total = walk(node, [], True)
         best = max(groups, key=lambda g: g[0], default=(0, None))
         if best[1] is None or best[1].repeated or best[0] * 2 <= total or best[1].tag not in SCOPES:
@@ -234,35 +319,62 @@ def region(wrapper: Node) -> list[str]:
         path.append(node.label)
 
 
-def extract(page: str | None, where: list[str]) -> str:
-    """The text of the page's region, or of the one found in the page itself where it has none such."""
+def constants(wrapper: Node, where: list[str]) -> list[int]:
+    """Names (of path and text) of the texts in the region that are the host's and not an article's; none if the pages are copies."""
+    out, held, total = [], 0, 0
+
+    def walk(node: Node, path: list[str], inside: bool) -> None:
+        nonlocal held, total
+        within = path[: len(where)] == where
+        if within:
+            total += node.chars
+            if node.pages >= SUPPORT:
+                held += node.pages * sum(node.fixed.values())
+                out.extend(_at_place(path, k) for k in node.fixed)
+        for c in node.children:
+            own = [*path, c.label]
+            if (within or own == where[: len(own)]) and not c.beside(inside):
+                walk(c, own, inside or _holds_article(c.label))
+
+    walk(wrapper, [], any(map(_holds_article, where)))
+    return out if held <= SHARE * total else []
+
+
+def _at_place(path: list[str], text: int) -> int:
+    return (zlib.crc32("/".join(path).encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 + text) & 0x7FFFFFFFFFFFFFFF
+
+
+def extract(page: str | None, where: list[str], fixed: frozenset[int] = frozenset()) -> str:
+    """The text of the page's region without the host's constants, or of the region found in the page itself where it has none such."""
     if not page:
         return ""
     root = tree(page)
     tops = _at(root, where)
     if not tops:
-        tops = _at(root, region(folded(root))) or [root]
+        where = region(folded(root))
+        tops = _at(root, where) or [(root, [])]
     blocks: list[str] = []
-    for top in tops:
-        _blocks(top, bool(where), blocks)
+    for top, path in tops:
+        _blocks(top, path, any(map(_holds_article, [*where, *path])), fixed, blocks)
     return "\n\n".join(blocks)
 
 
-def _at(node: Node, where: list[str]) -> list[Node]:
-    """The groups at a path of labels; the tags alone must agree on the way, the names too in the end."""
-    if not where:
-        return [] if node.tag == "page" else [node]
-    tag = where[0].split(".")[0]
-    same = [c for c in node.children if isinstance(c, Node) and (c.label == where[0] or (c.tag == tag and (len(where) > 1 or c.tag in ("article", "main"))))]
-    return [x for c in same for x in (_at(c, where[1:]) if len(where) > 1 else [c])]
+def _at(root: Node, where: list[str]) -> list[tuple[Node, list[str]]]:
+    """The groups at a path of labels, with their own; the tags alone must agree on the way, the names too in the end."""
+    found = [(root, [])] if where else []
+    for k, label in enumerate(where):
+        last, tag = k == len(where) - 1, label.split(".")[0]
+        found = [(c, [*path, c.label]) for node, path in found for c in node.children if isinstance(c, Node) and (c.label == label or (c.tag == tag and (not last or c.tag in ("article", "main"))))]
+    return found
 
 
-def _blocks(top: Node, in_article: bool, out: list[str]) -> None:
-    """Texts between block borders in page order; the stack is explicit, pages may nest deeply."""
+def _blocks(top: Node, path: list[str], in_article: bool, fixed: frozenset[int], out: list[str]) -> None:
+    """Texts between block borders in page order, without the host's constants."""
     run: list[str] = []
+    path = list(path)
 
     def close():
-        if text := " ".join(entities.unescape("".join(run)).split()):
+        if (text := _block(run)) and not (fixed and _at_place(path, _name(text)) in fixed):
             out.append(text)
         run.clear()
 
@@ -275,10 +387,13 @@ def _blocks(top: Node, in_article: bool, out: list[str]) -> None:
             close()
             if not c.beside(in_article):
                 stack.append(iter(c.children))
+                path.append(c.label)
                 break
         else:
             close()
             stack.pop()
+            if stack:
+                path.pop()
 
 
 def _hosted(pages: DataFrame, url_col: str) -> DataFrame:
@@ -286,33 +401,69 @@ def _hosted(pages: DataFrame, url_col: str) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, region): the expression inferred from SAMPLE pages of each host, chosen by a hash of the page."""
-    keyed = _hosted(pages.select(F.col(url_col), F.col(html_col).alias("_html")), url_col).where(F.length("_html") > 0).select("_host", "_html", F.xxhash64("_host", "_html").alias("_key"))
-    ranked = keyed.select("_host", "_key").withColumn("_rank", F.row_number().over(Window.partitionBy("_host").orderBy("_key"))).where(F.col("_rank") <= SAMPLE)
-    chosen = settle(ranked.select("_key").distinct())
-    sample = keyed.join(F.broadcast(chosen) if chosen.count() <= SAMPLE * BROADCAST else chosen, "_key", "left_semi").dropDuplicates(["_key"])
+    """(host, wrapper, region, fixed): the expression inferred from all pages of each host.
 
-    def run(group: pa.Table) -> pa.Table:
-        order = sorted(zip(group.column("_key").to_pylist(), group.column("_html").to_pylist(), strict=True))
-        w = infer([p for _, p in order])
-        return pa.table({"host": [group.column("_host")[0].as_py()], "wrapper": [expression(w)], "region": [json.dumps(region(w))]})
+    Each task aligns the pages that it reads; what tasks have found is aligned in groups of up to PARTS, and then once
+    more, so a host with any share of the pages sends one wrapper a task and not its pages.
+    """
+    hosted = _hosted(pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), "_url").where(F.length("_html") > 0).select("_host", "_html")
+
+    def one(batches):
+        pid, n, own = TaskContext.get().partitionId(), 0, {}
 
-    return sample.groupBy("_host").applyInArrow(run, "host string, wrapper string, region string")
+        def rows():
+            nonlocal n
+            n += 1
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([pid << 20 | n] * len(own), pa.int64()), pa.array([json.dumps(_packed(w)) for w in own.values()], pa.string())], names=["host", "part", "packed"])
+
+        for b in batches:
+            for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = folded(tree(page.as_py()))
+                own[host] = aligned(own[host], w) if host in own else w
+                if len(own) >= HELD:
+                    yield rows()
+                    own.clear()
+        yield rows()
+
+    def join(group: pa.Table) -> Node:
+        order = sorted(zip(group.column("part").to_pylist(), group.column("packed").to_pylist(), strict=True))
+        wrapper = None
+        for _, x in order:
+            w = _unpacked(json.loads(x))
+            wrapper = w if wrapper is None else aligned(wrapper, w)
+        return wrapper
+
+    def some(group: pa.Table) -> pa.Table:
+        return pa.table({"host": [group.column("host")[0].as_py()], "part": [min(group.column("part").to_pylist())], "packed": [json.dumps(_packed(join(group)))]})
+
+    def last(group: pa.Table) -> pa.Table:
+        w = join(group)
+        where = region(w)
+        return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [expression(w)], "region": [json.dumps(where)], "fixed": pa.array([constants(w, where)], pa.list_(pa.int64()))})
+
+    parts = hosted.mapInArrow(one, "host string, part long, packed string")
+    parts = parts.groupBy("host", F.expr(f"(part >> 20) div {PARTS}").alias("_group")).applyInArrow(some, "host string, part long, packed string")
+    return parts.groupBy("host").applyInArrow(last, "host string, wrapper string, region string, fixed array<long>")
 
 
 def main_text(pages: DataFrame, columns: list[str], url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: the given columns, text, n_chars. Null, empty and article-less pages have the empty text.
 
-    Pages without a host are taken as of one host. Rows are handled one by one; repeated pages give repeated rows.
+    Pages without a host are taken as of one host. Rows are handled one by one; repeated pages give repeated rows, an
+    empty table none. Groups nested deeper than DEPTH are read as neighbours. Columns of pages that are not asked for
+    may have any names.
     """
-    found = settle(wrappers(pages, url_col, html_col)).select(F.col("host").alias("_host"), "region")
-    hosted = _hosted(pages.select(*columns, *({url_col, html_col} - {*columns})), url_col)
-    joined = hosted.join(F.broadcast(found) if found.count() <= BROADCAST else found, "_host", "left").select(*columns, F.col(html_col).alias("_html"), "region")
+    found = settle(wrappers(pages, url_col, html_col).select(F.col("host").alias("_host"), "region", "fixed"))
+    own = [F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)]
+    hosted = _hosted(pages.select(*own, F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), "_url")
+    joined = hosted.join(small(found), "_host", "left").select(*(f"_c{k}" for k in range(len(columns))), "_html", "region", "fixed")
 
     def run(batches):
         for b in batches:
-            where = [json.loads(r) if r else [] for r in b.column(len(columns) + 1).to_pylist()]
-            texts = [extract(p.as_py(), w) for p, w in zip(b.column(len(columns)), where, strict=True)]
+            texts = []
+            for p, r, f in zip(b.column(len(columns)), b.column(len(columns) + 1), b.column(len(columns) + 2), strict=True):
+                where, fixed = r.as_py(), f.as_py()
+                texts.append(extract(p.as_py(), json.loads(where) if where else [], frozenset(fixed or ())))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    return joined.mapInArrow(run, joined.select(*columns).schema.add("text", "string").add("n_chars", "long"))
+    return joined.mapInArrow(run, pages.select(*columns).schema.add("text", "string").add("n_chars", "long"))
