@@ -1,9 +1,10 @@
 """Personal data: base expressions, and identifiers that bootstrapped context patterns find beside them.
 
 Base spans seed the search. The words around a span make its context patterns; patterns and the values that stand
-in them form a graph. In each round a pattern is as good as the share of its values that are known, and a value is
-as good as the patterns it stands in. Patterns that many different known values support and hardly any unknown
-value contradicts then mark the other values of the same form as identifiers of the pattern's kind.
+in them form a graph. In each round a pattern is as good as the share of its values that are known, and a value that
+stands in patterns which many different known values support, and hardly any unknown value contradicts, becomes known
+itself. So new values bring in new patterns, until nothing changes. The patterns that are good in the end mark the
+values of the same form as identifiers of their kind.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle, small
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -81,8 +82,6 @@ def _fits(value: str) -> list[int]:
 
 
 _WRAP = ".,;:!?\"'()[]<>"
-#: No form of an identifier is longer.
-LONGEST = 80
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 
 
@@ -102,22 +101,32 @@ def _tokens(text: str, taken: list[tuple[int, int, int]]):
         token = text[lo:end].rstrip(_WRAP)
         left = len(token) - len(token.lstrip(_WRAP))
         token = token[left:]
-        if 0 < len(token) <= LONGEST:
+        if token:
             yield lo + left, lo + left + len(token), token
 
 
-def contexts(text: str, start: int, end: int, reach: int = 48) -> list[str]:
+def _words(text: str, at: int, n: int, back: bool) -> list[str]:
+    """The n whole words before (or from) a place, fewer at the text's ends; the stretch that is read doubles until they are in it."""
+    reach = 48
+    while True:
+        part = text[max(0, at - reach) : at] if back else text[at : at + reach]
+        words = part.lower().split()
+        if len(words) > n or (reach >= at if back else at + reach >= len(text)):
+            return (words[-n:] if back else words[:n]) if words else []
+        reach *= 2
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
     """Patterns around a span: the two words before it, and the word before with the word after; digits read as 0."""
-    left = text[max(0, start - reach) : start].lower().split()[-2:]
-    right = text[end : end + reach].lower().split()[:1]
-    squash = lambda w: re.sub(r"[0-9]+", "0", w[:24])
+    left, right = _words(text, start, 2, True), _words(text, end, 1, False)
+    squash = lambda w: re.sub(r"[0-9]+", "0", w)
     out = [f"{' '.join(map(squash, left))} _"] if left else []
     if left and right:
         out.append(f"{squash(left[-1])} _ {squash(right[0])}")
     return out
 
 
-FOUND = "rid long, {own}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, seen array<struct<kind:int,start:int,end:int,value:string,seed:int,patterns:array<string>>>"
+FOUND = "rid long{own}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, seen array<struct<kind:int,start:int,end:int,value:string,seed:int,patterns:array<string>>>"
 _SEEN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
 
@@ -126,8 +135,9 @@ def _line(spans) -> str:
 
 
 def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """Per row: a row number, the given columns, counts and digest of the base spans, and the occurrences for the graph."""
-    kept = docs.select(F.col(text_col).alias("_text"), *columns)
+    """Per row: a row number, the given columns as c0, c1, ..., counts and digest of the base spans, and the occurrences for the graph."""
+    names = [f"c{k}" for k in range(len(columns))]
+    kept = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(x) for c, x in zip(columns, names, strict=True)))
 
     def run(batches):
         pid, n = TaskContext.get().partitionId() << 33, 0
@@ -147,30 +157,41 @@ def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
                 rid = [pid + n + i for i in range(part.num_rows)]
                 n += part.num_rows
                 c = list(zip(*counts, strict=True)) if counts else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(part.column(1 + i) for i in range(len(columns))), *(pa.array(x, pa.int64()) for x in c), pa.array(lines, pa.string()), pa.array(shas, pa.string()), pa.array(seen, _SEEN)], names=["rid", *columns, "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(part.column(1 + i) for i in range(len(columns))), *(pa.array(x, pa.int64()) for x in c), pa.array(lines, pa.string()), pa.array(shas, pa.string()), pa.array(seen, _SEEN)], names=["rid", *names, "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seen"])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:])
+    own = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema[1:])
     return kept.mapInArrow(run, FOUND.format(own=own))
 
 
-def confident(found: DataFrame, rounds: int = 3, support: int = 4, least: float = 0.8) -> DataFrame:
-    """(kind, pattern, score) of the patterns that at least `support` different seed values support with score >= least."""
-    edges = settle(found.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.seed", F.explode("s.patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")))
-    patterns = None
+def confident(found: DataFrame, rounds: int = 8, support: int = 4, least: float = 0.8) -> DataFrame:
+    """(kind, pattern, score), settled, of the patterns that at least `support` different known values support with score >= least.
+
+    The score is the share of known values among all values of a pattern, half a value added to the whole. In each
+    round the values of such patterns become known, at most `rounds` times; it ends when a round adds none.
+    """
+    edges = settle(found.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.seed", F.explode("s.patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("known")))
+    good, before = None, -1
     for _ in range(rounds):
-        known = edges.withColumn("worth", F.col("seed").cast("double"))
-        if patterns is not None:
-            worth = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("by"))
-            known = edges.join(worth, ["kind", "value"], "left").withColumn("worth", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("by", F.lit(0.0))))
-        patterns = known.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"), (F.sum("worth") / (F.count("*") + F.lit(0.5))).alias("score"))
-        patterns = settle(patterns.where(F.col("seeds") >= 2))
-    return patterns.where((F.col("seeds") >= support) & (F.col("score") >= least)).select("kind", "pattern", "score")
+        scored = edges.groupBy("kind", "pattern").agg(F.sum("known").alias("k"), (F.sum("known") / (F.count("*") + F.lit(0.5))).alias("score"))
+        if good is not None:
+            discard(good)
+        good = settle(scored.where((F.col("k") >= support) & (F.col("score") >= least)).select("kind", "pattern", "score"))
+        known = edges.agg(F.sum("known")).first()[0]
+        if known == before:
+            break
+        before = known
+        promoted = settle(edges.where("known = 0").join(small(good.select("kind", "pattern"), good), ["kind", "pattern"], "left_semi").select("kind", "value").distinct())
+        new = settle(edges.join(small(promoted.withColumn("_new", F.lit(1)), promoted), ["kind", "value"], "left").select("kind", "pattern", "value", F.greatest("known", F.coalesce("_new", F.lit(0))).alias("known")))
+        discard(edges, promoted)
+        edges = new
+    discard(edges)
+    return good
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """(rid, more): the spans that a confident pattern marks beside the base spans, as struct(start, kind, end)."""
     open_ = found.select("rid", F.explode(F.filter("seen", lambda s: s["seed"] == 0)).alias("s")).select("rid", "s.kind", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    marked = open_.join(patterns.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
+    marked = open_.join(small(patterns.select("kind", "pattern"), patterns), ["kind", "pattern"], "left_semi")
     # one kind for a place: the first as listed
     one = marked.groupBy("rid", "start", "end").agg(F.min("kind").alias("kind"))
     return one.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("more"))
@@ -185,31 +206,37 @@ def _as_spans(line: Column) -> Column:
 def detect(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
     """Per row: the given columns, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans (all of them).
 
-    A null text counts as empty: no spans, and the digest of the empty text. Repeated rows give repeated results.
+    A null text counts as empty: no spans, and the digest of the empty text. Repeated rows give repeated results, an
+    empty table none. Columns of docs may have any names; those that are asked for come first.
     """
     found = settle(find(docs, columns, text_col))
-    more = settle(discovered(found, confident(found)))
+    patterns = confident(found)
+    more = settle(discovered(found, patterns))
+    discard(patterns)
     names = F.array(*map(F.lit, KINDS))
     line = F.array_join(F.transform(F.sort_array(F.concat(_as_spans(F.col("base")), F.col("more"))), lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
-    return found.join(more, "rid", "left").select(*columns, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.when(F.col("more").isNull(), F.col("base")).otherwise(line).alias("spans"))
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
+    return found.join(small(more), "rid", "left").select(*own, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.when(F.col("more").isNull(), F.col("base")).otherwise(line).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by its kind in angle brackets; null texts stay null.
 
-    Overlapping spans are replaced as one, under the name of the first.
+    Overlapping spans are replaced as one, under the name of the first. Columns may have any names, repeated rows stay
+    repeated, and an empty table stays empty.
     """
     columns = docs.columns
-    kept = docs.select(*columns, F.col(text_col).alias("_pii_text"))
-    spans = detect(kept, [*columns], "_pii_text")
-    place = columns.index(text_col)
+    found = detect(docs, columns, text_col)
+    # by place, for the columns of docs may be named as those of detect are
+    spans = found.toDF(*(f"c{k}" for k in range(len(found.columns))))
+    place, last = columns.index(text_col), len(found.columns) - 1
 
     def run(batches):
         for b in batches:
             texts = [masked(t, s) for t, s in zip(b.column(place).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(columns))], names=columns)
 
-    return spans.select(*columns, "spans").mapInArrow(run, docs.schema)
+    return spans.select(*(f"c{k}" for k in range(len(columns))), f"c{last}").mapInArrow(run, docs.schema)
 
 
 def masked(text: str | None, line: str) -> str | None:
