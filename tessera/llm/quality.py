@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 PASSAGE = 64
 #: Bytes of text that the feature arrays are made for at once.
 SLICE = 1 << 21
-#: Labelled documents that the model is fitted on, at most; and passages of one of them, evenly spaced.
-MAX_TRAIN, MAX_BAG = 6000, 48
+#: Labelled documents that the model is fitted on, at most, with all of their passages.
+MAX_TRAIN = 6000
 
 _CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&^~", "<>|{}[]\\/=_", "!?", ".,;:", "\"'()-", "\n"]
 N_CLASS = len(_CLASSES) + 3
@@ -172,7 +172,7 @@ class AttentionMil:
 
 
 def bags_of(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Per row: the kept columns and bag, the features of at most MAX_BAG evenly spaced passages (for fitting alone)."""
+    """Per row: the kept columns and bag, the features of all passages as little-endian float32."""
 
     def run(batches):
         for b in batches:
@@ -180,12 +180,12 @@ def bags_of(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("l
                 part = b.slice(at, 1000)
                 x, row = passages(part.column(0).to_pylist())
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                bags = [x[np.unique(np.linspace(a, z - 1, min(MAX_BAG, z - a)).astype(int))].ravel() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(1, 1 + len(keep))), pa.array(bags, pa.list_(pa.float32()))], names=[*keep, "bag"])
+                bags = [x[a:z].astype("<f4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(1, 1 + len(keep))), pa.array(bags, pa.binary())], names=[*keep, "bag"])
 
     kept = docs.select(text_col, *keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema[1:])
-    return kept.mapInArrow(run, f"{schema}, bag array<float>")
+    return kept.mapInArrow(run, f"{schema}, bag binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int = MAX_TRAIN, id_col: str = "doc_id", label: str = "quality", text_col: str = "text") -> AttentionMil:
@@ -196,13 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
     """
     own = labels.select(F.col(id_col), F.col(label).cast("int").alias("label")).where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1) & allowed)
     own = own.groupBy(id_col).agg(F.max("label").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(max_train)
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(own), id_col)
-    # repeated rows of an id: one of them, so that the sample keeps its bound; the order makes the fit repeatable
-    rows = bags_of(texts, "text", (id_col, "label")).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(own.select(F.col(id_col).alias("_id"), "label")), "_id")
+    # of repeated rows of an id the least text, so that the sample keeps its bound; the order makes the fit repeatable
+    texts = texts.groupBy("_id", "label").agg(F.min("_text").alias("_text"))
+    rows = bags_of(texts, "_text", ("_id", "label")).orderBy(F.xxhash64("_id"), "_id").collect()
     model = AttentionMil()
     y = np.array([r.label for r in rows], np.float32)
     if len(rows) and 0 < y.sum() < len(y):
-        model.fit([np.array(r.bag, np.float32).reshape(-1, N_FEATURES) for r in rows], y)
+        model.fit([np.frombuffer(r.bag, "<f4").reshape(-1, N_FEATURES) for r in rows], y)
     else:
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         model.p |= {"c": np.zeros_like(model.p["c"]), "d": np.array([np.log(share / (1 - share))], np.float32)}
@@ -210,10 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int =
 
 
 def score(docs: DataFrame, model: AttentionMil, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns and `score` (0 to 1). A null text counts as empty; an empty text has one empty passage."""
+    """The given columns and `score` (0 to 1). A null text counts as empty; an empty text has one empty passage.
+
+    Rows are scored one by one: repeated rows give repeated scores, an empty table none. Other columns may have any names.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*columns, F.col(text_col).alias("_text"))
+    kept = docs.select(*columns, F.col(text_col).alias("_text_"))
 
     def run(batches):
         own = shared.value
@@ -222,5 +226,5 @@ def score(docs: DataFrame, model: AttentionMil, columns: list[str], text_col: st
             if out:
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(columns))), pa.array(np.concatenate(out))], names=[*columns, "score"])
 
-    schema = kept.drop("_text").schema.add("score", "double")
+    schema = kept.drop("_text_").schema.add("score", "double")
     return kept.mapInArrow(run, schema)
