@@ -3,9 +3,9 @@
 Words are the runs of letters and digits (every non-ASCII character counts as one) after lower-casing A-Z. The
 template texts are indexed by (word -> template, position). Only templates whose mandatory phrases have all of their
 words in the file can match; every word of those looks up the postings, and postings that agree on the relative
-position vote for a template at that place. A template counts when its mandatory phrases stand where the votes put
-them and the words in place hold enough of its inverse document frequency, taken over the whole corpus. Base phrases
-are found everywhere, whatever the votes say.
+position, up to a few words put in or left out, vote for a template at that place. A template counts when its mandatory
+phrases stand there and the words in place hold enough of its inverse document frequency, taken over the whole corpus.
+Base phrases are found everywhere, whatever the votes say.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Label -> (notice text, mandatory phrases).
+#: Label -> (notice or full text, mandatory phrases); the texts of published licences are fixed values.
 TEMPLATES = {
     "gpl-notice": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["free software", "gnu general public license"]),
     "gpl-licensed": ("licensed under the gnu general public license", ["licensed under", "gnu general public license"]),
@@ -45,6 +45,37 @@ TEMPLATES = {
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights", ["waived all copyright"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     "eclipse": ("made available under the terms of the eclipse public license", ["eclipse public license"]),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ["permission is hereby granted free of charge", "the software is provided as is"],
+    ),
+    "bsd-3-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        ["redistribution and use in source and binary forms", "may be used to endorse or promote products"],
+    ),
+    "isc-text": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ["permission to use copy modify and or distribute", "disclaims all warranties with regard to this software"],
+    ),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ["you may not use this file except in compliance with the license", "governing permissions and limitations under the license"],
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        ["permission is granted to anyone to use this software for any purpose", "the origin of this software must not be misrepresented"],
+    ),
+    "bsl-1.0": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ["obtaining a copy of the software and accompanying documentation covered by this license"],
+    ),
+    "wtfpl": (
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+        ["everyone is permitted to copy and distribute verbatim or modified copies"],
+    ),
     "proprietary": ("all rights reserved no part of this publication may be reproduced without permission", ["all rights reserved"]),
 }
 
@@ -63,6 +94,8 @@ class Index:
     base: dict[str, str] = field(default_factory=lambda: BASE_PHRASES)
     idf: dict[bytes, float] = field(default_factory=dict)
     quorum: float = 0.5
+    #: Words by which places of a template may differ, where words were put in or left out.
+    slack: int = 8
 
     def __post_init__(self):
         self.text = {k: t.encode().split() for k, (t, _) in self.templates.items()}
@@ -102,27 +135,31 @@ class Index:
         possible = [k for k, need in self.needed.items() if need <= present]
         if not possible:
             return {}
-        postings, votes = defaultdict(list), Counter()
+        postings, votes = defaultdict(list), defaultdict(lambda: defaultdict(set))
         for k in possible:
             for p, w in enumerate(self.text[k]):
                 postings[w].append((k, p))
         for i, w in enumerate(ws):
             if w in postings:
                 for k, p in postings[w]:
-                    votes[k, i - p] += 1
+                    votes[k][i - p].add(p)
         found: dict[str, float] = {}
-        for (k, at), n in votes.items():
-            if n < min(2, len(self.text[k])) or not all(at + p >= 0 and ws[at + p : at + p + len(q)] == q for p, q in self.phrases[k]):
-                continue
+        for k, at_of in votes.items():
             whole = sum(idf.get(w, 1.0) for w in self.text[k])
-            got = sum(idf.get(w, 1.0) for p, w in enumerate(self.text[k]) if 0 <= at + p < len(ws) and ws[at + p] == w)
-            if whole and got / whole >= self.quorum:
-                found[k] = max(found.get(k, 0.0), got / whole)
+            # a phrase's first word fixes the places that are worth a look
+            first, q = self.phrases[k][0]
+            for at in [x for x, ps in at_of.items() if first in ps and ws[x + first : x + first + len(q)] == q]:
+                near = [x for x in range(at - self.slack, at + self.slack + 1) if x in at_of]
+                if all(any(p in at_of[x] and ws[x + p : x + p + len(r)] == r for x in near) for p, r in self.phrases[k]):
+                    placed = set().union(*(at_of[x] for x in near))
+                    got = sum(idf.get(self.text[k][p], 1.0) for p in placed)
+                    if got >= self.quorum * whole:
+                        found[k] = max(found.get(k, 0.0), min(1.0, got / whole))
         return found
 
 
 def frequencies(docs: DataFrame, index: Index, text_col: str = "text") -> dict[bytes, float]:
-    """idf of the templates' words over all documents: ln((n + 1) / (df + 1)); the vocabulary bounds what the driver gets."""
+    """idf of the templates' words over all documents: 1 + ln((n + 1) / (df + 1)), so more than 0; the vocabulary bounds what the driver gets."""
     vocabulary = index.vocabulary
 
     def run(batches):
@@ -135,7 +172,7 @@ def frequencies(docs: DataFrame, index: Index, text_col: str = "text") -> dict[b
 
     got = {r.word: r.n for r in docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n = got.pop("", 0)
-    return {w: math.log((n + 1) / (got.get(w.decode(), 0) + 1)) for w in vocabulary}
+    return {w: 1 + math.log((n + 1) / (got.get(w.decode(), 0) + 1)) for w in vocabulary}
 
 
 def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
