@@ -8,66 +8,42 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, packing, pii, quality, rules
-from tessera.llm.common import fold, settle, table
-
-#: A text without one common word is 0.330 from the nearest reference; no labelled clean text of sf0.1 is beyond 0.259.
-MAX_WORD_JS = 0.28
+from tessera.llm import stages
+from tessera.llm.common import discard, settle, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.3 or more."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    kept = docs.withColumn("_text", F.col("text"))
-    scored = quality.score(kept, model, docs.columns, "_text")
-    return scored.where("score >= 0.3").select(*docs.columns)
+    return stages.good_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    # written first: a filter over the measures would be pushed below them, with all of their expressions copied into it
-    judged = settle(rules.rules(docs, max_word_js=MAX_WORD_JS).select(*docs.columns, "_kept"))
-    return judged.where("_kept").select(*docs.columns)
+    return stages.within_rules(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that with the smallest doc_id, null as the largest, and of rows that share it the first by text.
-
-    A row in no group stays, whether or not it has an id of its own.
-    """
-    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows == ids:
-        found = jaccard.near_duplicates(docs).where("n_shingles = 0 OR component_id = doc_id").select("doc_id")
-        return docs.join(found, "doc_id", "left_semi")
-    # ids that are null or repeated do not tell rows apart: numbers of the written rows do
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = settle(jaccard.near_duplicates(numbered, "_row"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text", "_row")
-    first = numbered.join(found.where("n_shingles > 0"), "_row").groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row")
-    kept = first.union(found.where("n_shingles = 0").select("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return stages.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return stages.without_personal_data(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return stages.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality classifier", classify), ("quality rules", check_rules), ("n-gram Jaccard join", drop_near_duplicates), ("personal data", redact), ("best-fit packing", pack)]
 
-#: SQL cannot fit the classifier; tests hold the stages of rules and near duplicates against brute force.
+#: SQL cannot fit the classifier; tests/llm holds the stages after it against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
