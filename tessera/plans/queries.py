@@ -48,10 +48,10 @@ def _status(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
-    return e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
 
 
-TOP = "scored AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings i WHERE q.vec_id < 5), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored WHERE score >= 0.2)"
+TOP = "scored AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored WHERE score >= 0.2)"
 
 
 @query(f"WITH {TOP} SELECT query_id, item_id, score, rank FROM top WHERE rank <= 10")
@@ -322,13 +322,15 @@ def parse_json(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import compositions  # noqa: F401  registers its own
+def _register() -> None:
+    from . import compositions, parsing  # noqa: F401  each registers its own
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import compositions  # noqa: F401
-
+    _register()
     return dict(_SQL)
