@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,19 +29,34 @@ def incident(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return near.groupBy("src", "tgt").agg(F.min("ord").alias("ord"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): breadth-first levels around the seeds (node), by frontier joins; lineage is cut at each level."""
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
-    adj = adjacency(edges)
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    for k in range(1, depth + 1):
-        frontier = seen.where(F.col("depth") == k - 1).select("node")
-        new = adj.join(frontier, "node").select(F.col("other").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
-        path = f"{base}/bfs-{uuid.uuid4().hex}"
-        seen.union(new).write.parquet(path)
-        seen = spark.read.parquet(path)
-    return seen
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
+    """(node, depth): breadth-first levels around the seeds (node), by frontier joins; each level is written, so lineage ends there.
+
+    Edges are followed both ways, from source to target (out) or back (in); they and the levels are each written once.
+    """
+    ways = {"both": adjacency, "out": lambda e: e.select(F.col("src").alias("node"), F.col("tgt").alias("other")), "in": lambda e: e.select(F.col("tgt").alias("node"), F.col("src").alias("other"))}
+    adj = written(ways[direction](edges))
+    levels = [written(seeds.select("node").distinct())]
+    for _ in range(depth):
+        new = adj.join(levels[-1], "node").select(F.col("other").alias("node")).distinct()
+        # of an undirected edge only the two levels before can hold the other end
+        for old in levels[-2:] if direction == "both" else levels:
+            new = new.join(old, "node", "left_anti")
+        levels.append(written(new))
+    return reduce(DataFrame.union, (df.withColumn("depth", F.lit(k)) for k, df in enumerate(levels)))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again; only a local session may lack that setting."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
+    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -148,10 +148,10 @@ def popular_labels(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir)).orderBy(F.desc("degree"), "node").limit(50)
 
 
-@query(f"WITH {ADJ} SELECT node, CASE WHEN node = 'p1' THEN 1000 WHEN starts_with(node, 'p1') THEN 500 ELSE 100 - length(node) END AS score FROM deg WHERE contains(node, 'p1') ORDER BY score DESC, node LIMIT 30")
+@query(f"WITH {ADJ} SELECT node, CASE WHEN node = 'p1' THEN 1000 WHEN starts_with(node, 'p1') THEN 500 ELSE 100 - length(node) + CASE WHEN contains(node, ' p1') OR contains(node, '_p1') THEN 50 ELSE 0 END END AS score FROM deg WHERE contains(node, 'p1') ORDER BY score DESC, node LIMIT 30")
 def search_labels(spark, sf_dir):
     n = graph.degrees(_edges(spark, sf_dir)).where(F.lower("node").contains("p1"))
-    score = F.when(F.lower("node") == "p1", 1000).when(F.lower("node").startswith("p1"), 500).otherwise(100 - F.length("node"))
+    score = F.when(F.lower("node") == "p1", 1000).when(F.lower("node").startswith("p1"), 500).otherwise(100 - F.length("node") + F.when(F.lower("node").rlike("[ _]p1"), 50).otherwise(0))
     return n.select("node", score.alias("score")).orderBy(F.desc("score"), "node").limit(30)
 
 
@@ -160,10 +160,10 @@ def bfs_depth2(spark, sf_dir):
     return graph.bfs(_edges(spark, sf_dir), spark.range(1).select(F.lit("p1").alias("node")), 2)
 
 
-@query(f"WITH {ADJ}, best AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 40) SELECT src, tgt, weight FROM edges WHERE src IN (FROM best) AND tgt IN (FROM best)")
+@query(f"WITH {ADJ}, best AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 400) SELECT src, tgt, weight FROM edges WHERE src IN (FROM best) AND tgt IN (FROM best)")
 def induced_subgraph_topn(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.induced(e, graph.degrees(e).orderBy(F.desc("degree"), "node").limit(40)).select("src", "tgt", "weight")
+    return graph.induced(e, graph.degrees(e).orderBy(F.desc("degree"), "node").limit(400)).select("src", "tgt", "weight")
 
 
 @query(f"WITH {ADJ}, seeds AS (SELECT unnest(['s1', 'p2', 'p1']) AS node, unnest([0, 1, 2]) AS ord) SELECT least(node, other) AS src, greatest(node, other) AS tgt, min(ord)::INT AS ord FROM adj JOIN seeds USING (node) GROUP BY 1, 2")
@@ -323,7 +323,7 @@ def parse_json(spark, sf_dir):
 
 
 def _register() -> None:
-    from . import compositions, parsing  # noqa: F401  each registers its own
+    from . import compositions, mutations, parsing  # noqa: F401  each registers its own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
