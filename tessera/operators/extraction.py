@@ -75,7 +75,7 @@ def valid_relations(rows: DataFrame) -> DataFrame:
 
 def repaired(text: str | None) -> str | None:
     """JSON from nearly-JSON: single quotes, missing quotes of keys, trailing commas, missing ends; None if that is not enough."""
-    if text is None:
+    if text is None or not re.search(r"[{\[]", text):
         return None
     for attempt in (text, _repair(text)):
         try:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, hashed_id, pair_key, summary, trimmed, without_thoughts
-from ..operators import chunks, graph, ranking, search, tables
+from ..operators import chunks, context, graph, ranking, search, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -61,8 +61,7 @@ def naive_topk(spark, sf_dir):
 
 @query(f"WITH {TOP} SELECT query_id, count(*) AS n FROM top GROUP BY query_id")
 def cosine_threshold(spark, sf_dir):
-    q, v = _vectors(spark, sf_dir)
-    return search.top_k(q, v, 1 << 30, 0.2).groupBy("query_id").agg(F.count("*").alias("n"))
+    return search.matches(*_vectors(spark, sf_dir), 0.2).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TOP}, hit AS (SELECT t.query_id, t.rank, (a.label = b.label)::INT AS hit FROM top t JOIN embeddings a ON a.vec_id = t.query_id JOIN embeddings b ON b.vec_id = t.item_id WHERE rank <= 10 AND query_id <> item_id) SELECT query_id, sum(hit) AS hits, round(coalesce(1.0 / min(CASE WHEN hit = 1 THEN rank END), 0), 6) AS mrr FROM hit GROUP BY query_id")
@@ -264,10 +263,9 @@ def weighted_polling(spark, sf_dir):
     return ranking.weighted_polling(own, ["o_custkey"], "owner", "place", 5, 1).select("o_custkey", "o_orderkey", "round")
 
 
-@query("SELECT source AS file_path, n, row_number() OVER (ORDER BY n DESC, first_id)::VARCHAR AS reference_id FROM (SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source)")
+@query("SELECT lang, source AS file_path, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first_id)::VARCHAR AS reference_id FROM (SELECT lang, source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL)")
 def reference_list(spark, sf_dir):
-    g = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    return g.select(F.col("source").alias("file_path"), "n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "first_id")).cast("string").alias("reference_id"))
+    return context.references(_t(spark, sf_dir, "documents").select("lang", F.col("source").alias("file_path"), "doc_id"), ["lang"], "file_path", "doc_id")
 
 
 @query("SELECT l_orderkey, max(l_quantity) AS best, round(avg(l_quantity), 6) AS mean, min([l_linenumber::DOUBLE, l_partkey::DOUBLE, l_quantity])[3] AS first FROM lineitem GROUP BY l_orderkey")
@@ -323,7 +321,7 @@ def parse_json(spark, sf_dir):
 
 
 def _register() -> None:
-    from . import compositions, mutations, parsing  # noqa: F401  each registers its own
+    from . import compositions, mutations, parsing, serving  # noqa: F401  each registers its own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
