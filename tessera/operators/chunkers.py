@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 #: Paragraph, line, CJK sentence ends, space, then single characters.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=\S)|\n+")
+#: Ends of a sentence where a chunk is too long to embed.
+_STOP = re.compile(r"(?<=[。！？；.!?])")
 
 Counter = Callable[[str], int]
 
@@ -75,6 +77,27 @@ def packed(units: list[str], size: int, count: Counter = len, mark: str = " ") -
     return [*out, own] if own else out
 
 
+def limited(text: str | None, size: int) -> list[str]:
+    """The text itself, or pieces of at most `size` characters of its own: sentences, or windows of one that is too long.
+
+    Sentences of a piece are joined by a blank line, which does not count. Blank texts have no pieces.
+    """
+    if not (text or "").strip() or len(text) <= size:
+        return [text] if (text or "").strip() else []
+    units = [u for p in text.split("\n\n") for u in (x.strip() for x in _STOP.split(p.strip())) if u]
+    out, own, used = [], [], 0
+    for u in units:
+        if own and used + len(u) > size:
+            out.append("\n\n".join(own))
+            own, used = [], 0
+        if len(u) > size:
+            out += [p for p in (u[i : i + size].strip() for i in range(0, len(u), size)) if p]
+        else:
+            own.append(u)
+            used += len(u)
+    return [*out, "\n\n".join(own)] if own else out
+
+
 def hashed_words(texts: list[str], width: int = 256) -> np.ndarray:
     """A vector for each text from its words alone: the model hook's default."""
     out = np.zeros((len(texts), width))

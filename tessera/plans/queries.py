@@ -321,7 +321,7 @@ def parse_json(spark, sf_dir):
 
 
 def _register() -> None:
-    from . import compositions, mutations, parsing, serving  # noqa: F401  each registers its own
+    from . import chunking, compositions, mutations, parsing, serving  # noqa: F401  each registers its own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
