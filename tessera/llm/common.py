@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows in an Arrow batch, about. Spark's own bounds (64 MB, 10,000 rows) let a task's worker and its JVM hold several times those beside the heap.
+BATCH = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python workers in batches of about BATCH bytes; a longer row is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, whose worker gives free memory back to the system when the task ends: it waits for other tasks, with what it holds."""
+
+    @functools.wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return out
+
+
 def fold(key: str | Column, n: int) -> Column:
     """crc32 of the key's decimal text, modulo n; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

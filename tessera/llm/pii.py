@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, small
+from .common import discard, frugal, settle, small
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -137,15 +137,19 @@ def _line(spans) -> str:
 def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
     """Per row: a row number, the given columns as c0, c1, ..., counts and digest of the base spans, and the occurrences for the graph."""
     names = [f"c{k}" for k in range(len(columns))]
-    kept = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(x) for c, x in zip(columns, names, strict=True)))
+    # a text that is among the columns is sent once
+    place = columns.index(text_col) if text_col in columns else len(columns)
+    own = [F.col(c).alias(x) for c, x in zip(columns, names, strict=True)]
+    kept = docs.select(*own, *([F.col(text_col).alias("_text")] if place == len(columns) else []))
 
+    @frugal
     def run(batches):
         pid, n = TaskContext.get().partitionId() << 33, 0
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 counts, lines, shas, seen = [], [], [], []
-                for t in part.column(0):
+                for t in part.column(place):
                     text = t.as_py() or ""
                     spans = base_spans(text)
                     counts.append([sum(k == j for _, k, _ in spans) for j in range(4)])
@@ -157,9 +161,9 @@ def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
                 rid = [pid + n + i for i in range(part.num_rows)]
                 n += part.num_rows
                 c = list(zip(*counts, strict=True)) if counts else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(part.column(1 + i) for i in range(len(columns))), *(pa.array(x, pa.int64()) for x in c), pa.array(lines, pa.string()), pa.array(shas, pa.string()), pa.array(seen, _SEEN)], names=["rid", *names, "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(part.column(i) for i in range(len(columns))), *(pa.array(x, pa.int64()) for x in c), pa.array(lines, pa.string()), pa.array(shas, pa.string()), pa.array(seen, _SEEN)], names=["rid", *names, "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "seen"])
 
-    own = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema[1:])
+    own = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema[: len(columns)])
     return kept.mapInArrow(run, FOUND.format(own=own))
 
 
@@ -231,8 +235,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans = found.toDF(*(f"c{k}" for k in range(len(found.columns))))
     place, last = columns.index(text_col), len(found.columns) - 1
 
+    @frugal
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = [masked(t, s) for t, s in zip(b.column(place).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(columns))], names=columns)
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 PASSAGE = 64
 #: Bytes of text that the feature arrays are made for at once.
 SLICE = 1 << 21
@@ -88,9 +90,11 @@ def _features(rows: list[int], parts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     size = np.bincount(word_pass, minlength=total).astype(np.float64)
     length = stop - start
     # bytes belong to the passage of the word they are in or follow
-    byte_pass = np.repeat(word_pass, np.diff(np.append(start, len(buf))))
-    classes = _LOOKUP[buf[start[0] :]]
-    hist = np.bincount(byte_pass * N_CLASS + classes, minlength=total * N_CLASS).reshape(total, N_CLASS)
+    cell = np.repeat(word_pass, np.diff(np.append(start, len(buf))))
+    cell *= N_CLASS
+    cell += _LOOKUP[buf[start[0] :]]
+    hist = np.bincount(cell, minlength=total * N_CLASS).reshape(total, N_CLASS)
+    del cell  # as long as all bytes, eight times as wide
     n_bytes = np.maximum(hist.sum(1, keepdims=True), 1)
     x[:, :N_CLASS] = hist / n_bytes
     mean = lambda v: np.bincount(word_pass, v, minlength=total) / np.maximum(size, 1)
@@ -98,7 +102,10 @@ def _features(rows: list[int], parts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     head = buf[start]
     upper = (head >= 65) & (head <= 90)
     place = (np.arange(len(buf)) - np.repeat(np.append(0, start), np.diff(np.concatenate(([0], start, [len(buf)]))))) & 63
-    hashes = np.add.reduceat(np.where(word, _BYTE[buf] * _PLACE[place], np.uint64(0)), start)
+    hashes = _BYTE[buf]
+    hashes *= _PLACE[place]
+    hashes[space] = 0
+    hashes = np.add.reduceat(hashes, start)
     slot = within % PASSAGE
     grid = np.zeros((total, PASSAGE), np.uint64)
     grid[word_pass, slot] = hashes
@@ -217,14 +224,17 @@ def score(docs: DataFrame, model: AttentionMil, columns: list[str], text_col: st
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*columns, F.col(text_col).alias("_text_"))
+    # a text that is among the columns is sent once
+    place = columns.index(text_col) if text_col in columns else len(columns)
+    kept = docs.select(*columns, *([F.col(text_col).alias("_text_")] if place == len(columns) else []))
 
+    @frugal
     def run(batches):
         own = shared.value
         for b in batches:
-            out = [own.score(b.column(len(columns)).slice(at, 1000).to_pylist()) for at in range(0, b.num_rows, 1000)]
+            out = [own.score(b.column(place).slice(at, 1000).to_pylist()) for at in range(0, b.num_rows, 1000)]
             if out:
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(columns))), pa.array(np.concatenate(out))], names=[*columns, "score"])
 
-    schema = kept.drop("_text_").schema.add("score", "double")
+    schema = docs.select(*columns).schema.add("score", "double")
     return kept.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def good_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Data
     """
     model = quality.train(docs.select("doc_id", "text"), labels, fold("doc_id", 5) != 0)
     rows, (text,) = _plain(docs, "text")
-    scored = quality.score(rows.withColumn("t", F.col(text)), model, rows.columns, "t")
+    scored = quality.score(rows, model, rows.columns, text)
     return scored.where(F.col("score") >= least).select(*rows.columns).toDF(*docs.columns)
 
 

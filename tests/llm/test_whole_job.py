@@ -3,9 +3,12 @@
 import itertools
 
 import public_tokenizers as public
+import pyarrow as pa
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import bpe, jaccard, licenses
+from tessera.llm import bpe, jaccard, licenses, packing, pii, quality
 
 
 def _sets(texts):
@@ -80,3 +83,25 @@ def test_pipeline_rules_reject_text_without_common_words(spark):
     clean = " ".join(words)
     docs = spark.createDataFrame([(1, junk), (2, clean), (3, None)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.check_rules(spark, docs, "").collect()] == [2]
+
+
+def test_pipeline_sends_workers_little_at_once(spark):
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    bound, spark_own = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    spark.conf.set(bound, spark_own)
+    assert corpus_pipeline.redact(spark, docs, "").where("length(text) = 4000").count() == 4000
+    sizes = [r.n for r in docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    assert sum(sizes) > 16_000_000 and max(sizes) < 5_000_000
+    sent = lambda df: df._jdf.queryExecution().analyzed().children().head().output().size()
+    assert sent(pii.find(docs, docs.columns)) == sent(quality.score(docs, quality.AttentionMil(), docs.columns)) == 2
+
+
+def test_word_cache_is_bounded_and_keeps_first_words(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 60)
+    monkeypatch.setattr(packing, "KEPT", 20)
+    path = public.path("word_bpe_49k.json")
+    own, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    for k in range(30):
+        text = "the end, of it. " + " ".join(f"w{k}x{i}," for i in range(10))
+        assert own([text])[0] == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids)
+        assert len(own.known) <= 60 + 30 and "end," in own.known
