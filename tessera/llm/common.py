@@ -25,18 +25,51 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, whose worker gives free memory back to the system when the task ends: it waits for other tasks, with what it holds."""
+#: What this worker keeps for later tasks: one thing at most, by its key.
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """make(), kept in this worker until a frugal task comes that does not name the key."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def _let_go(keeps: tuple | None) -> None:
+    """A function of the module, for one inside another goes to the workers with a copy of _held."""
+    if _held and keeps not in _held:
+        _held.clear()
+        _give_back()
+
+
+def frugal(run: Callable[[Iterator], Iterator], keeps: tuple | None = None) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, whose worker gives free memory back after each batch and when the task ends: it waits for other tasks, with what it holds.
+
+    What tasks of other operators have left with `held` goes first, unless `keeps` is its key; workers outlive their stages.
+    """
+
+    def each(batches):
+        for b in batches:
+            yield b
+            _give_back()
 
     @functools.wraps(run)
     def out(batches):
+        _let_go(keeps)
         try:
-            yield from run(batches)
+            yield from run(each(batches))
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim:
-                trim(0)
+            _give_back()
 
     return out
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, components, discard, rows, settle, small
+from .common import BROADCAST, components, discard, frugal, rows, settle, small
 
 WORDS = 5
 BINS = 18
@@ -63,6 +63,7 @@ def _bin(h: np.ndarray) -> np.ndarray:
 def bin_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How many documents' shingles fall in each of 2^BINS hash ranges, over all documents."""
 
+    @frugal
     def run(batches):
         total = np.zeros(1 << BINS, np.int64)
         for b in batches:
@@ -105,6 +106,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str)
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("_text"))
     kind = kept.schema[0].dataType.simpleString()
 
+    @frugal
     def run(batches):
         rare, pid, serial = shared.value, TaskContext.get().partitionId() << 33, 0
         for b in batches:
@@ -135,6 +137,7 @@ def segments(docs: DataFrame, counts: np.ndarray, wanted: DataFrame, id_col: str
     shared = spark.sparkContext.broadcast((counts, pivots(counts)))
     texts = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("_text")).join(wanted, "key").select("_text", "d", "set")
 
+    @frugal
     def run(batches):
         rare, cuts = shared.value
         for b in batches:

@@ -11,7 +11,6 @@ among the pieces of its length; ranks come from counts per task and length, so n
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import zlib
@@ -22,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, held
+
 #: Entries of a worker's word cache, about 0.25 KB each; when it is full the first KEPT stay, among them nearly all frequent words.
 CACHE, KEPT = 600_000, 300_000
 #: Words that one tokeniser call gets, joined by blanks.
@@ -76,11 +77,6 @@ class WordIds:
             self.known[w] = ids[a:b].tobytes()
 
 
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 PIECES = "pid int, doc_id {id}, piece int, start long, length int, ids_crc32 long"
 
 
@@ -92,13 +88,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     kept = docs.select(id_col, text_col)
     kind = kept.schema[0].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
-    step = 4 * capacity
+    step, key = 4 * capacity, ("word ids", tokenizer)
 
     def run(batches):
-        ids_of, pid = word_ids(tokenizer), TaskContext.get().partitionId()
+        ids_of, pid = held(key, lambda: WordIds(tokenizer)), TaskContext.get().partitionId()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(ids_of([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
@@ -107,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                         row.append(i), piece.append(k), start.append(p // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
                 yield pa.RecordBatch.from_arrays([pa.array([pid] * len(row), pa.int32()), part.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], names=["pid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return kept.mapInArrow(run, PIECES.format(id=kind))
+    return kept.mapInArrow(frugal(run, keeps=key), PIECES.format(id=kind))
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
@@ -248,6 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     starts = by_task.select("pid", "length", before.alias("before"))
     ranked = cut.join(starts, ["pid", "length"]).select("*", (F.row_number().over(_window(["pid", "length"], ["doc_id", "piece", "start", "ids_crc32"])) - 1 + F.col("before")).alias("rank"))
 
+    @frugal
     def place(batches):
         table = plan_of.value
         for b in batches:

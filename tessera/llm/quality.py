@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import frugal
 
 PASSAGE = 64
-#: Bytes of text that the feature arrays are made for at once.
-SLICE = 1 << 21
+#: Bytes of the longest part of a text that is taken whole, and of the texts that the feature arrays are made for at once; the arrays take tens of times as much.
+SLICE, GROUP = 1 << 21, 1 << 18
 #: Labelled documents that the model is fitted on, at most, with all of their passages.
 MAX_TRAIN = 6000
 
@@ -38,7 +38,7 @@ N_FEATURES = N_CLASS + 13
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Groups of texts of about SLICE bytes; a longer text comes in parts that end at a blank where there is one."""
+    """Groups of texts of about GROUP bytes; a text longer than SLICE comes in parts that end at a blank where there is one."""
     rows, parts, size = [], [], 0
     for i, t in enumerate(texts):
         b = (t or "").encode()
@@ -47,7 +47,7 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
             end = len(b) if len(b) - at <= SLICE else (b.rfind(b" ", at + 1, at + SLICE) + 1 or at + SLICE)
             rows.append(i), parts.append(b[at:end])
             size, at = size + end - at, end
-            if size >= SLICE:
+            if size >= GROUP:
                 yield rows, parts
                 rows, parts, size = [], [], 0
             if at >= len(b):
@@ -181,6 +181,7 @@ class AttentionMil:
 def bags_of(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("label",)) -> DataFrame:
     """Per row: the kept columns and bag, the features of all passages as little-endian float32."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):

@@ -105,3 +105,33 @@ def test_word_cache_is_bounded_and_keeps_first_words(monkeypatch):
         text = "the end, of it. " + " ".join(f"w{k}x{i}," for i in range(10))
         assert own([text])[0] == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids)
         assert len(own.known) <= 60 + 30 and "end," in own.known
+
+
+def test_workers_keep_no_words_for_other_operators(spark):
+    docs = spark.range(0, 64, 1, 32).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"))
+    path = public.path("word_bpe_49k.json")
+
+    def alive(batches):
+        import gc
+
+        found = [sum(type(x).__name__ == "WordIds" for x in gc.get_objects())]
+        yield from (pa.RecordBatch.from_arrays([pa.array(found)], names=["n"]) for _ in batches)
+
+    def left() -> int:
+        """Each of the workers that wait gets a task."""
+        return sum(r.n for r in spark.range(0, 64, 1, 32).mapInArrow(alive, "n long").collect())
+
+    assert packing.pieces(docs, path, 64, 0).count() == 2 * 64
+    assert left() > 0  # for the next tasks of packing
+    assert len(quality.score(docs, quality.AttentionMil(), ["doc_id"]).collect()) == 64
+    assert left() == 0
+
+
+def test_classifier_features_do_not_depend_on_the_texts_taken_together(monkeypatch):
+    texts = [None, "", "One line, two. " * 900, "x" * 5000, "a b\n" * 3000, " "]
+    own, row = quality.passages(texts)
+    monkeypatch.setattr(quality, "GROUP", 1 << 21)
+    once, row_once = quality.passages(texts)
+    assert (own == once).all() and (row == row_once).all()
+    monkeypatch.undo()
+    assert max(sum(map(len, parts)) for _, parts in quality._slices(["word " * 400] * 2000)) <= quality.GROUP + 2000
